@@ -146,11 +146,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     w = Window.partitionBy("id", "source", "size", "pass").orderBy("bucket", "row")
     cuts = cuts.withColumn("nth", F.row_number().over(w))
     size = WORD_COUNT(F.col(text_col))
-    nth = F.row_number().over(Window.partitionBy(F.col(id_col), F.col(source_col), "_size").orderBy(text_col))
-    full = docs.withColumn("_size", size).withColumn("_nth", nth)
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("c.id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("c.source")) & (F.col("d._size") == F.col("c.size")) & (F.col("d._nth") == F.col("c.nth"))
+    nth = F.row_number().over(Window.partitionBy(F.col(id_col), F.col(source_col), "_posetta_size").orderBy(text_col))
+    full = docs.withColumn("_posetta_size", size).withColumn("_posetta_nth", nth)
+    on = F.col(f"d.{id_col}").eqNullSafe(F.col("c.id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("c.source")) & (F.col("d._posetta_size") == F.col("c.size")) & (F.col("d._posetta_nth") == F.col("c.nth"))
     both = full.alias("d").join(cuts.alias("c"), on)
     words = F.regexp_extract_all(F.col(f"d.{text_col}"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), 0)
     text = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["from"] + 1).cast("int"), (c["to"] - c["from"]).cast("int")))), "")
-    out = [F.col(f"d.{c}") if c not in (text_col, "n_chars") else F.col("_text").alias(text_col) if c == text_col else F.char_length("_text").cast("long").alias(c) for c in docs.columns]
-    return both.withColumn("_text", text).select(*out)
+    out = [F.col(f"d.{c}") if c not in (text_col, "n_chars") else F.col("_posetta_text").alias(text_col) if c == text_col else F.char_length("_posetta_text").cast("long").alias(c) for c in docs.columns]
+    return both.withColumn("_posetta_text", text).select(*out)
