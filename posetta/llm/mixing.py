@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from posetta.llm.words import WORD_COUNT
 from posetta.plans.session import stored
 
-#: Primes above 2^30; i * prime stays within 63 bits for the index of any source under 2^32 blocks.
+#: Primes above 2^30; i * prime stays within 63 bits where a source has fewer than 2^31 blocks.
 PRIMES = [1_073_741_827, 1_073_741_831, 1_073_741_833, 1_073_741_839, 1_073_741_843, 1_073_741_857, 1_073_741_891, 1_073_741_909]
 
 
@@ -48,14 +48,18 @@ def draw_shards(slots: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
-def scattered(i: Column, n: Column, seed: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1: three rounds of a multiplication by a prime that doesn't divide
-    n and an offset, each modulo n."""
+def shuffle_steps(n: int, seed: str) -> list[tuple[int, int]]:
+    """Three (factor, offset) for scattered(); a factor is a prime, modulo n, that doesn't divide n."""
+    rng = random.Random(seed)
+    return [(rng.choice([p for p in PRIMES if n % p]) % n, rng.randrange(n)) for _ in range(3)] if n else []
+
+
+def scattered(i: Column, n: Column, steps: Column) -> Column:
+    """A pseudorandom permutation of 0..n-1: three rounds of i * factor + offset modulo n, after each of which
+    the even numbers move to the lower half and the odd ones to the upper."""
     for k in range(3):
-        prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(len(PRIMES))) + 1).cast("int"))
-        i = F.pmod(F.pmod(i, n) * F.pmod(prime, n) + F.pmod(F.xxhash64(seed, F.lit(k + 100)), n), n)
-        half = F.floor((n + 1) / 2)
-        i = F.when(i % 2 == 0, F.floor(i / 2)).otherwise(half + F.floor(i / 2)).cast("long")
+        i = (i * steps[k]["factor"] + steps[k]["offset"]) % n
+        i = F.shiftright(i, 1) + F.when(i % 2 == 0, F.lit(0)).otherwise(F.shiftright(n + 1, 1))
     return i
 
 
@@ -101,15 +105,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn, done, ranges = draw_shards(slots, shards, seed), [0] * len(slots), []
     for k, counts in enumerate(drawn):
         for i, c in enumerate(counts):
-            if c:
-                ranges.append((k, table[i][0], held[i], i, done[i], done[i] + c))
-                done[i] += c
-    spans = spark.createDataFrame(ranges or [], "shard int, source string, blocks long, no int, lo long, hi long")
-    step = 1 << 14
-    spans = spans.withColumn("lo_part", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(step)))).repartition("shard", "no", "lo_part")
-    taken = spans.select("shard", "source", "blocks", "no", F.explode(F.sequence(F.col("lo_part"), F.least(F.col("lo_part") + step, F.col("hi")) - 1)).alias("slot"))
-    taken = taken.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
-    taken = taken.withColumn("block", scattered(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.concat_ws("/", F.lit(str(seed)), F.col("no").cast("string"), F.col("pass").cast("string"))))
+            while c:  # a range of slots ends with its pass
+                turn, at = divmod(done[i], held[i])
+                part = min(c, held[i] - at)
+                ranges.append((k, table[i][0], held[i], turn, at, at + part, shuffle_steps(held[i], f"{seed}/{i}/{turn}")))
+                done[i], c = done[i] + part, c - part
+    spans = spark.createDataFrame(ranges, "shard int, source string, blocks long, pass int, lo long, hi long, steps array<struct<factor:long,offset:long>>")
+    step, tasks = 1 << 14, max(1, -(-sum(slots) // (1 << 18)))
+    spans = spans.withColumn("lo", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(step)))).withColumn("hi", F.least(F.col("lo") + step, "hi")).repartition(tasks, "source", "pass", "lo")
+    taken = spans.withColumn("slot", F.explode(F.sequence("lo", F.col("hi") - 1)))
+    taken = taken.withColumn("block", scattered(F.col("slot"), F.col("blocks"), F.col("steps")))
     return placed, taken.select("source", "block", "shard", "pass"), sources
 
 
@@ -119,7 +124,8 @@ def taken_words(placed: DataFrame, taken: DataFrame, block: int = 64) -> DataFra
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     cut = cut.select("id", "source", "size", "bucket", "row", "block", F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("from"), F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("to"))
     on = F.col("c.source").eqNullSafe(F.col("t.source")) & (F.col("c.block") == F.col("t.block"))
-    return cut.alias("c").join(taken.alias("t"), on).select("c.*", "t.pass", "t.shard")
+    # what a range of slots grows to isn't in the statistics, so a merge join is asked for
+    return cut.alias("c").join(taken.hint("merge").alias("t"), on).select("c.*", "t.pass", "t.shard")
 
 
 def mixed_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, **more) -> DataFrame:
