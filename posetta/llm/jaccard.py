@@ -30,21 +30,27 @@ def band_edges(most: int, num: int, den: int) -> np.ndarray:
     return np.array([*out, out[-1] * den // num + 1], np.int64)
 
 
-def block_keys(s: np.ndarray, light: np.ndarray, edges: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set of n shingles, such that two sets as similar as asked share one.
-
-    A set joins the group of its band and that of the band below. A group's pairs differ in d elements at
-    most. The group's sketch has more than d blocks, m, of 64 thousand million bits each, so that at least
-    m - d are equal; a block is known by its parities, hashed. Blocks are ordered by how many rare shingles
-    they have, then how many shingles, then by hash: the same order for all sets. The first d + 1 are keys:
-    of the m - d or more equal blocks, either set leaves out m - d - 1 at most, always the last in that
-    order, so one at least is a key of both."""
-    n, out = len(s), []
-    band = int(np.searchsorted(edges, n, "right")) - 1
-    for g in {band, max(0, band - 1)}:
-        top = int(edges[g + 1]) - 1
-        d = (den - num) * (top + top * den // num) // (den + num)
-        m = max(d + 1, -(-2 * top // 5))
+def group_shape(edges: np.ndarray, g: int, num: int, den: int) -> tuple[int, int, int]:
+    """(blocks, keys, needed) of group g, which holds the sets of bands g and g + 1. Pairs with the smaller set in
+    band g differ in d elements at most, so that of m blocks m - d at least are equal. Each set has d + r of its
+    blocks as keys and leaves out m - d - r; by the same order for all, so r of the equal ones are keys of both."""
+    top = int(edges[g + 1]) - 1
+    d = (den - num) * (top + top * den // num) // (den + num)
+    m = max(d + 4, -(-2 * top // 5))
+    r = max(4, (m - d) // 2)
+    return m, d + r, r
+
+
+def block_keys(s: np.ndarray, light: np.ndarray, edges: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
+    """(group, side, keys) of a set for the group of its band (side 0) and that of the band below (side 1).
+
+    The sketch of a group has that many blocks of 2^64 bits; a block is known by its parities, hashed. Blocks
+    are ordered by how many rare shingles they have, then how many shingles, then by hash, and the first are
+    keys: an order by what a block holds, the same for all sets."""
+    band = int(np.searchsorted(edges, len(s), "right")) - 1
+    out = []
+    for g in range(band, max(-1, band - 2), -1):
+        m, keys, _ = group_shape(edges, g, num, den)
         h = mixed(s ^ U(0xA5A5 + g))
         block = (h % U(m)).astype(np.int64)
         order = np.argsort(block, kind="stable")
@@ -55,8 +61,8 @@ def block_keys(s: np.ndarray, light: np.ndarray, edges: np.ndarray, num: int, de
         pattern = mixed(parity + (np.arange(m, dtype=U) + U(g << 32)) * U(0x9E3779B97F4A7C15))
         rare = np.bincount(block, light, minlength=m)
         rank = (np.minimum(rare, 31).astype(U) << U(59)) | (np.minimum(count, 31).astype(U) << U(54)) | (pattern >> U(10))
-        out.append(pattern[np.argpartition(rank, m - d - 1)[m - d - 1 :]] if m > d + 1 else pattern)
-    return np.concatenate(out)
+        out.append((g, band - g, pattern[np.argpartition(rank, m - keys)[m - keys :]] if m > keys else pattern))
+    return out
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -124,11 +130,12 @@ def heavy_slots(made: DataFrame) -> np.ndarray:
 
 
 def candidate_pairs(docs: DataFrame, text_col: str, width: int, heavy: np.ndarray, edges: np.ndarray, parts: int, num: int, den: int, small: int) -> DataFrame:
-    """(gid, a, b): classes a < b that share a key. Key groups of up to `small` classes give all pairs, with a
-    null gid; larger ones pair each class with the least, under the group's id."""
+    """(gid, a, b, g, n). Of a key that up to `small` classes have, all pairs with one on side 0, n being how
+    many such keys a and b share here, and gid null; of any other key its members as a, n being how many keys
+    have just these members, gid standing for them, and b for the side."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes: list[int] = []
+        whose: list[tuple[int, int, int]] = []
         keys: list[np.ndarray] = []
         seen: set[int] = set()
         held = 0
@@ -140,60 +147,67 @@ def candidate_pairs(docs: DataFrame, text_col: str, width: int, heavy: np.ndarra
             order = np.argsort(part, kind="stable")
             part, key, own = part[order], (key[order] >> U(32)).astype(np.uint32), own[order]
             cut = np.flatnonzero(np.r_[True, np.diff(part) != 0, True])
-            of = np.array(classes, np.int64)
+            of, at = np.array([w[0] for w in whose], np.int64), np.array([w[1] * 2 + w[2] for w in whose], np.uint16)
             rows: list = []
             for lo, hi in zip(cut, cut[1:]):
                 who, times = np.unique(own[lo:hi], return_counts=True)
-                rows.append((int(part[lo]), of[who].tobytes(), times.astype(np.uint32).tobytes(), key[lo:hi].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "classes", "times", "keys"])
+                rows.append((int(part[lo]), of[who].tobytes(), at[who].tobytes(), times.astype(np.uint16 if times.max() < 65536 else np.uint32).tobytes(), key[lo:hi].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["part", "classes", "places", "times", "keys"])
 
         for b in batches:
             for _, s in shingle_sets(b.column(0).to_pylist(), width):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)  # copies in one task are told once
-                classes.append(c)
-                keys.append(block_keys(s, (~heavy[(s % U(SLOTS)).astype(np.int64)]).astype(float), edges, num, den))
-                held += len(keys[-1])
+                for g, side, k in block_keys(s, (~heavy[(s % U(SLOTS)).astype(np.int64)]).astype(float), edges, num, den):
+                    whose.append((c, g, side))
+                    keys.append(k)
+                    held += len(k)
                 if held > 2 * KEYS_A_PART:
                     yield flush()
-                    classes, keys, held = [], [], 0
+                    whose, keys, held = [], [], 0
         if keys:
             yield flush()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
         for b in batches:
-            for part, who, times, key in zip(*(b.column(k).to_pylist() for k in range(4))):
-                got.setdefault(part, []).append((np.repeat(np.frombuffer(who, np.int64), np.frombuffer(times, np.uint32)), np.frombuffer(key, np.uint32)))
+            for part, who, at, times, key in zip(*(b.column(k).to_pylist() for k in range(5))):
+                who = np.frombuffer(who, np.int64)
+                times = np.frombuffer(times, np.uint16 if len(times) == 2 * len(who) else np.uint32)
+                got.setdefault(part, []).append((np.repeat(who, times), np.repeat(np.frombuffer(at, np.uint16), times), np.frombuffer(key, np.uint32)))
         for blobs in got.values():
-            who, key = (np.concatenate(x) for x in zip(*blobs))
+            who, at, key = (np.concatenate(x) for x in zip(*blobs))
             blobs.clear()
-            order = np.lexsort((who, key))
-            who, key = who[order], key[order]
-            new = np.r_[True, (np.diff(key) != 0) | (np.diff(who) != 0)]
-            who, key = who[new], key[new]
-            cut = np.flatnonzero(np.r_[True, np.diff(key) != 0, True])
+            order = np.lexsort((who, at, key))
+            who, at, key = who[order], at[order], key[order]
+            # a key is of one group: the same 32 bits in two groups are two keys
+            new = np.r_[True, (np.diff(key) != 0) | (np.diff(at >> 1) != 0)]
+            again = np.r_[False, ~new[1:] & (np.diff(who) == 0)]
+            who, at, new = who[~again], at[~again], new[~again]
+            cut = np.r_[np.flatnonzero(new), len(who)]
             size = np.diff(cut)
             lo, k = cut[:-1][size > 1], size[size > 1]
             pairs: list[np.ndarray] = []
             for w in np.unique(k[k <= small]):
-                members = who[lo[k == w][:, None] + np.arange(w)]
+                rows = lo[k == w][:, None] + np.arange(w)
                 i, j = np.triu_indices(w, 1)
-                pairs.append(np.stack([members[:, i].ravel(), members[:, j].ravel()], 1))
-            if pairs:
-                p = np.unique(np.concatenate(pairs), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(p)).cast(pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1])], ["gid", "a", "b"])
-            told: set[int] = set()
-            for at, w in zip(lo[k > small], k[k > small]):
-                members = who[at : at + w]
-                gid = class_of(members.view(U))
-                if gid not in told:
-                    told.add(gid)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(w - 1, gid)), pa.array(np.full(w - 1, members[0])), pa.array(members[1:])], ["gid", "a", "b"])
-
-    blobs = docs.select(text_col).mapInArrow(keyed, "part int, classes binary, times binary, keys binary")
-    return blobs.repartition(parts, "part").mapInArrow(met, "gid bigint, a bigint, b bigint")
+                x, y = rows[:, i].ravel(), rows[:, j].ravel()
+                keep = (at[x] & 1) + (at[y] & 1) < 2  # two of the upper band meet in their own group
+                x, y = x[keep], y[keep]
+                pairs.append(np.stack([np.minimum(who[x], who[y]), np.maximum(who[x], who[y]), (at[x] >> 1).astype(np.int64)], 1))
+            if pairs and len(p := np.concatenate(pairs)):
+                p, n = np.unique(p, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(p)).cast(pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2]), pa.array(n.astype(np.int64))], ["gid", "a", "b", "g", "n"])
+            told: dict[tuple[int, int], list] = {}
+            for start, w in zip(lo[k > small], k[k > small]):
+                members = who[start : start + w]
+                told.setdefault((class_of(members.view(U)), int(at[start] >> 1)), [start, w, 0])[2] += 1
+            for (gid, g), (start, w, n) in told.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(w, gid)), pa.array(who[start : start + w]), pa.array((at[start : start + w] & 1).astype(np.int64)), pa.array(np.full(w, g)), pa.array(np.full(w, n))], ["gid", "a", "b", "g", "n"])
+
+    blobs = docs.select(text_col).mapInArrow(keyed, "part int, classes binary, places binary, times binary, keys binary")
+    return blobs.repartition(parts, "part").mapInArrow(met, "gid bigint, a bigint, b bigint, g bigint, n bigint")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -265,9 +279,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingle; one without words, or a null text, links with nothing. Documents with equal sets form a class,
     and all else is done with classes. Sets are compared by 64-bit hashes of their shingles, in full.
 
-    In a key group of more than `small` classes, each is first held against the least one only. Then all
-    pairs of the group are tried whose classes aren't connected yet, so that no link between components is
-    lost, and large groups of near copies don't give all their pairs.
+    Similar sets share some number of keys, not just one; see group_shape(). Pairs from keys of up to `small`
+    classes are counted, and a pair goes on if it has enough of them together with what it could share of the
+    others. Classes that have enough of those others are first held against the least class of each such key
+    only. Then those of their pairs are tried that aren't connected yet and share enough, so that no link
+    between components is lost, and large groups of near copies don't give all their pairs.
 
     Null ids link nothing and have a null component; rows with one id and different texts connect what each
     is linked with, as one node has all rows of a class; an empty table gives no rows; only the two named
@@ -277,21 +293,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heavy = heavy_slots(made)
     total, most = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     edges = band_edges(most, num, den)
-    parts = max(64, total // (2 * KEYS_A_PART))
+    parts = max(64, total * 2 // (3 * KEYS_A_PART))
     reps = rows.where("n > 0 and id is not null").groupBy("c").agg(F.min("id").alias("rep"))
     cand = stored(candidate_pairs(docs.where(F.col(id_col).isNotNull()), text_col, width, heavy, edges, parts, num, den, small), "pairs")
-    pairs = cand.select("a", "b").distinct()
-    wanted = cand.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(reps, "c")
+    shapes = [group_shape(edges, g, num, den)[2] for g in range(len(edges) - 1)]
+    need = F.element_at(F.array(*[F.lit(r) for r in shapes]), (F.col("g") + 1).cast("int"))
+    large = cand.where("gid is not null").select("gid", F.col("a").alias("c"), F.col("b").alias("side"), "g", "n")
+    much = large.groupBy("c", "g").agg(F.sum("n").alias("l"))
+    pairs = cand.where("gid is null").groupBy("a", "b", "g").agg(F.sum("n").alias("n"))
+    pairs = pairs.join(much.toDF("a", "g", "la"), ["a", "g"], "left").join(much.toDF("b", "g", "lb"), ["b", "g"], "left")
+    pairs = pairs.where(F.col("n") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= need).select("a", "b").distinct()
+    large = stored(large.join(much.where(F.col("l") >= need), ["c", "g"], "left_semi"), "large")
+    least = large.groupBy("gid", "g").agg(F.min("c").alias("a"))
+    stars = large.join(least, ["gid", "g"]).where("a < c").select("a", F.col("c").alias("b"))
+    pairs = stored(pairs.union(stars).distinct(), "tried")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(large.select("c")).distinct().join(reps, "c")
     sets = stored(sets_of(docs, id_col, text_col, width, stored(wanted, "wanted")), "sets")
     links = stored(verified(pairs, sets, num, den), "links")
     label = components(links)
-    big = cand.where("gid is not null")
-    big = big.select("gid", F.col("b").alias("c")).union(big.select("gid", F.col("a").alias("c"))).distinct().join(label, F.col("c") == F.col("node"), "left").select("gid", "c", F.coalesce("component", "c").alias("of"))
-    mixed_groups = big.groupBy("gid").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("gid")
-    big = stored(big.join(mixed_groups, "gid", "left_semi"), "open")
-    if not big.isEmpty():
-        x, y = big.toDF("gid", "a", "oa"), big.toDF("gid", "b", "ob")
-        more = x.join(y, "gid").where("a < b and oa <> ob").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    open_ = large.join(label, F.col("c") == F.col("node"), "left").select("gid", "g", "c", "side", "n", F.coalesce("component", "c").alias("of"))
+    several = open_.groupBy("gid", "g").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
+    open_ = stored(open_.join(several, ["gid", "g"], "left_semi"), "open")
+    if not open_.isEmpty():
+        x, y = open_.toDF("gid", "g", "a", "sa", "n", "oa"), open_.toDF("gid", "g", "b", "sb", "m", "ob")
+        more = x.join(y, ["gid", "g"]).where("a < b and oa <> ob and sa + sb < 2").groupBy("a", "b", "g").agg(F.sum("n").alias("n"))
+        more = more.where(F.col("n") >= need).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         links = stored(links.union(verified(more, sets, num, den)), "links")
         label = components(links)
     least = reps.join(label, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("component", "c").alias("of"))
