@@ -34,7 +34,8 @@ def varint(x: Column) -> Column:
 
 
 def hex_bytes(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 2).cast("int") - 1), lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    """The bytes of a hex string as numbers, none of an empty one."""
+    return F.transform(F.regexp_extract_all(text, F.lit("(..)"), 1), lambda x: F.conv(x, 16, 10).cast("long"))
 
 
 def varint_decode(text: Column, bits: int = 64) -> Column:
@@ -83,16 +84,15 @@ def stream_encode(xs: Column) -> Column:
 
 
 def stream_decode(data: Column, control: Column, n: Column) -> Column:
-    """The n numbers of stream_encode()."""
-    ctl, raw = hex_bytes(control), hex_bytes(data)
-    size = lambda i: F.call_function("shiftrightunsigned", F.get(ctl, F.floor(i / 4).cast("int")), ((i % 4) * 2).cast("int")).bitwiseAND(F.lit(3)) + 1
+    """The n numbers of stream_encode(). The bytes are in the fold's state, so that they're parsed once."""
 
     def step(s: Column, i: Column) -> Column:
-        length = size(i).cast("int")
-        value = F.aggregate(F.transform(F.slice(raw, s["at"] + 1, length), lambda x, k: F.call_function("shiftleft", x, (k * 8).cast("int"))), F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.struct((s["at"] + length).alias("at"), F.concat(s["out"], F.array(value)).alias("out"))
+        code = F.call_function("shiftrightunsigned", F.get(s["ctl"], F.floor(i / 4).cast("int")), ((i % 4) * 2).cast("int"))
+        length = (code.bitwiseAND(F.lit(3)) + 1).cast("int")
+        value = F.aggregate(F.transform(F.slice(s["raw"], s["at"] + 1, length), lambda x, k: F.call_function("shiftleft", x, (k * 8).cast("int"))), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.struct(s["ctl"].alias("ctl"), s["raw"].alias("raw"), (s["at"] + length).alias("at"), F.concat(s["out"], F.array(value)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<bigint>").alias("out"))
+    start = F.struct(hex_bytes(control).alias("ctl"), hex_bytes(data).alias("raw"), F.lit(0).alias("at"), F.array().cast("array<bigint>").alias("out"))
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.aggregate(F.sequence(F.lit(0), n.cast("int") - 1), start, step, lambda s: s["out"]))
 
 

@@ -14,7 +14,7 @@ WORDS = BLOCK // WORD
 
 def mask_below(n: Column) -> Column:
     """A word whose n lowest bits are set, n from 0 to 63."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
+    return F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), n.cast("int")))
 
 
 def shifted_one(n: Column) -> Column:
@@ -34,7 +34,7 @@ def positions(blocked: DataFrame) -> DataFrame:
     """(set_id, pos): the positions of the set bits."""
     some = blocked.select("set_id", "block", F.posexplode("words").alias("w", "word")).where("word <> 0")
     bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.col("word").bitwiseAND(shifted_one(i)) != 0)
-    return some.select("set_id", (F.col("block") * BLOCK + F.col("w") * WORD + F.explode(bits)).alias("pos"))
+    return some.select("set_id", (F.col("block") * BLOCK + F.col("w") * WORD).alias("base"), F.explode(bits).alias("bit")).select("set_id", (F.col("base") + F.col("bit")).alias("pos"))
 
 
 def directory(blocked: DataFrame) -> DataFrame:
@@ -49,23 +49,33 @@ def directory(blocked: DataFrame) -> DataFrame:
     return out.join(starts, ["set_id", "block"])
 
 
+def with_all_blocks(blocked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """blocked with the blocks that aren't there below each set's size (sizes: set_id, size) as zeros, so that a
+    rank query needs one equality join."""
+    whole = sizes.select("set_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / BLOCK))).alias("block"))
+    return whole.join(blocked, ["set_id", "block"], "left").select("set_id", "block", F.coalesce("words", F.array_repeat(F.lit(0).cast("long"), WORDS)).alias("words"))
+
+
 def access(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (set_id, i) with bit: whether position i is in the set; false outside."""
     there = rows.select("set_id", F.col("pos").alias("i")).distinct().withColumn("bit", F.lit(True))
     return queries.join(there, ["set_id", "i"], "left").withColumn("bit", F.coalesce("bit", F.lit(False)))
 
 
-def rank1(index: DataFrame, queries: DataFrame, out: str = "rank1") -> DataFrame:
+def rank1(index: DataFrame, queries: DataFrame, out: str = "rank1", dense: bool = False) -> DataFrame:
     """queries (set_id, i) with the number of ones in [0, i). A position in a block that isn't there takes the
-    ones up to the last block before it. Only blocks and the distinct blocks of the queries have a window."""
+    ones up to the last block before it. Only blocks and the distinct blocks of the queries have a window. A
+    dense index has all blocks; see with_all_blocks()."""
     asked = queries.withColumn("block", F.floor(F.col("i") / BLOCK))
+    off = F.col("i") % BLOCK
+    word = F.floor(off / WORD).cast("int")
+    inside = F.col("before") + F.get("cum", word) + F.bit_count(F.get("words", word).bitwiseAND(mask_below(off % WORD)))
+    if dense:
+        return asked.join(index.select("set_id", "block", "words", "cum", "before"), ["set_id", "block"], "left").select(*queries.columns, F.coalesce(inside, F.lit(0)).cast("long").alias(out))
     steps = index.select("set_id", "block", F.col("before"), (F.col("before") + F.col("ones")).alias("after"))
     wanted = asked.select("set_id", "block").distinct().join(steps.select("set_id", "block", F.lit(1).alias("there")), ["set_id", "block"], "left").where("there is null").select("set_id", "block", F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("after"))
     w = Window.partitionBy("set_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     gaps = steps.union(wanted).withColumn("last", F.last("after", ignorenulls=True).over(w)).where("before is null").select("set_id", "block", F.coalesce("last", F.lit(0)).alias("gap"))
-    off = F.col("i") % BLOCK
-    word = F.floor(off / WORD).cast("int")
-    inside = F.col("before") + F.get("cum", word) + F.bit_count(F.get("words", word).bitwiseAND(mask_below(off % WORD)))
     found = asked.join(index.select("set_id", "block", "words", "cum", "before"), ["set_id", "block"], "left").join(gaps, ["set_id", "block"], "left")
     return found.select(*queries.columns, F.coalesce(inside, F.col("gap"), F.lit(0)).cast("long").alias(out))
 

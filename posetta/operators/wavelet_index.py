@@ -42,14 +42,15 @@ def build(v: DataFrame, depth: int | None = None) -> WaveletIndex:
     every = ones[0]
     for o in ones[1:]:
         every = every.union(o)
-    return WaveletIndex(stored(bits.directory(bits.blocks(every)), "wavelet"), zeros, size, depth)
+    sizes = v.sparkSession.range(depth).select(F.col("id").cast("int").alias("set_id"), F.lit(size).alias("size"))
+    return WaveletIndex(stored(bits.directory(bits.with_all_blocks(bits.blocks(every), sizes)), "wavelet"), zeros, size, depth)
 
 
 def _ranked(index: WaveletIndex, q: DataFrame, d: int) -> DataFrame:
     """q with the ones before its columns i and j at level d, as ri and rj."""
-    q = bits.rank1(index.levels, q.withColumn("set_id", F.lit(d)).withColumn("_j", F.col("j")), "ri")
+    q = bits.rank1(index.levels, q.withColumn("set_id", F.lit(d)).withColumn("_j", F.col("j")), "ri", dense=True)
     keep = F.col("i")
-    q = bits.rank1(index.levels, q.withColumn("_i", keep).withColumn("i", F.col("_j")), "rj")
+    q = bits.rank1(index.levels, q.withColumn("_i", keep).withColumn("i", F.col("_j")), "rj", dense=True)
     return q.withColumn("i", F.col("_i")).drop("_i", "_j", "set_id")
 
 
