@@ -137,6 +137,17 @@ def markdown_blocks(text: str) -> list[tuple[int, str, int, int, str]]:
             return "block_quote"
         return "list" if re.match(r" {0,3}([-*+]|\d{1,9}[.)])(\s|$)", x) else ""
 
+    headings: list[tuple[int, int]] = []  # (line, level), those in fenced code left out
+    fence = ""
+    for j, x in enumerate(lines):
+        mark = re.match(r" {0,3}(`{3,}|~{3,})", x)
+        if fence:
+            fence = "" if x.strip().startswith(fence) else fence
+        elif mark:
+            fence = mark[1]
+        elif starts(x) == "atx_heading":
+            headings.append((j, len(re.match(r" {0,3}(#+)", x)[1])))
+
     while i < len(lines):
         if not lines[i].strip():
             i += 1
@@ -146,7 +157,7 @@ def markdown_blocks(text: str) -> list[tuple[int, str, int, int, str]]:
             level = len(re.match(r" {0,3}(#+)", lines[i])[1])
             while sections and sections[-1] >= level:
                 sections.pop()
-            hi = next((j for j in range(i + 1, len(lines)) if starts(lines[j]) == kind and len(re.match(r" {0,3}(#+)", lines[j])[1]) <= level), len(lines))
+            hi = next((j for j, k in headings if j > i and k <= level), len(lines))
             put("section", lo, hi)
             sections.append(level)
             put(kind, lo, lo + 1)

@@ -127,5 +127,5 @@ def product(df: DataFrame, x: str = "x", out: str = "product") -> DataFrame:
     signs = df.agg(F.coalesce(F.min(F.abs(x)), F.lit(1)).alias("low"), F.count(F.when(F.col(x) < 0, 1)).alias("minus"))
     powers = df.where(F.abs(x) > 1).groupBy(F.abs(x).alias("v")).count().limit(64).agg(F.collect_list(F.struct("v", F.least("count", F.lit(64)).alias("c"))).alias("powers"))
     times = lambda a, s: F.aggregate(F.sequence(F.lit(1).cast("long"), s["c"]), a, lambda b, _: b * s["v"])
-    whole = F.aggregate("powers", F.lit(1).cast("long"), times)
-    return signs.crossJoin(powers).select(F.when(F.col("low") == 0, F.lit(0).cast("long")).otherwise(whole * F.when(F.col("minus") % 2 == 1, -1).otherwise(1)).alias(out))
+    sign = F.when(F.col("minus") % 2 == 1, -1).otherwise(1).cast("long")
+    return signs.crossJoin(powers).select(F.when(F.col("low") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("powers", sign, times)).alias(out))
