@@ -129,3 +129,23 @@ def product(df: DataFrame, x: str = "x", out: str = "product") -> DataFrame:
     times = lambda a, s: F.aggregate(F.sequence(F.lit(1).cast("long"), s["c"]), a, lambda b, _: b * s["v"])
     sign = F.when(F.col("minus") % 2 == 1, -1).otherwise(1).cast("long")
     return signs.crossJoin(powers).select(F.when(F.col("low") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("powers", sign, times)).alias(out))
+
+
+def closure(df: DataFrame, by: list[str], step: Callable, zero: object, schema: str, finish: Callable | None = None, pos: str = "pos", x: str = "x") -> DataFrame:
+    """(by..., result) for each group: step, any Python function of a state and an item, over the items in order from
+    zero, and finish at the end. step gives (state, done); a fold that is done reads no further item. schema is the
+    result's type. For what no column expression can say: a group's items come together in one task."""
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
+    head = "".join(f"{c} {kinds[c]}, " for c in by)
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        state = zero
+        for item in group.sort_values(pos)[x]:
+            state, done = step(state, item)
+            if done:
+                break
+        return pd.DataFrame([[*key, finish(state) if finish else state]], columns=[*by, "result"])
+
+    return df.select(*by, pos, x).groupBy(*by).applyInPandas(run, f"{head}result {schema}")

@@ -144,3 +144,41 @@ def test_ingestion(spark, tmp_path):
     query = ingest.start(stream(), base, "text")
     query.awaitTermination()
     assert ingest.payloads(spark, base).count() == 7 and not ingest.progress(query)["failed"]
+
+
+def test_slicing(spark):
+    from posetta.functions import slicing
+    from posetta.operators import bits
+
+    rng = random.Random(7)
+    sets = {"full": range(65536, 131072), "dense": rng.sample(range(65536), 40000), "middle": rng.sample(range(65536), 9000), "few": [0, 255, 256, 65535, 3 << 16], "runs": [*range(300, 340), *range(70000, 70020)]}
+    rows = spark.createDataFrame([(k, p) for k, v in sets.items() for p in v], "set_id string, pos bigint")
+    chunks = slicing.sliced(bits.blocks(rows)).cache()
+    assert sorted(slicing.unsliced(chunks).collect()) == sorted(rows.collect())
+    kinds = {(r.set_id, r.block): (r.kind & 255, r.ones) for r in chunks.collect()}
+    assert kinds["full", 1] == (slicing.FULL, 65536) and kinds["dense", 0][0] == slicing.DENSE and kinds["few", 3] == (slicing.SPARSE, 1)
+    for r in slicing.serialised(chunks).collect():
+        found = [int(p) + i * 65536 for i, ones, kind, data in slicing.parse(bytes(r.data)) for p in slicing.chunk_decode(ones, kind, data)]
+        assert found == sorted(sets[r.set_id])
+    assert slicing.assemble([]) == b"" and list(slicing.parse(b"")) == []
+
+
+def test_content(spark):
+    from posetta.functions import content
+
+    rows = [(1, b""), (2, b"a" * 50000), (3, random.Random(8).randbytes(5000)), (4, None)]
+    df = spark.createDataFrame(rows, "id int, data binary")
+    kept = content.encoded(df, "data").cache()
+    assert {r.id: None if r.data is None else r.data[-1] for r in kept.collect()} == {1: 0, 2: 1, 3: 0, 4: None}
+    assert {r.id: r.data and bytes(r.data) for r in content.decoded(kept, "data").collect()} == {k: v for k, v in rows}
+    for bad in (b"", b"junk\x01"):
+        with pytest.raises(ValueError):
+            content.decode(bad)
+
+
+def test_closures(spark):
+    from posetta.operators import folds
+
+    df = spark.createDataFrame([("a", i, i) for i in range(10)] + [("b", 0, 5)], "k string, pos bigint, x bigint")
+    got = folds.closure(df, ["k"], lambda s, x: (s + x, s + x >= 10), 0, "bigint", lambda s: s * 2)
+    assert sorted(got.collect()) == [("a", 20), ("b", 10)]
