@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -600,7 +599,11 @@ def stream_ingest(s, d):
     """Documents as a stream, staged in micro-batches, packed, and read again."""
     base = f"{scratch_dir(s)}/ingest-{uuid.uuid4().hex}"
     docs = table(s, d, "documents")
-    stream = s.readStream.schema(docs.schema).option("pathGlobFilter", "documents*.parquet" if d.startswith("file:") or os.path.isfile(f"{d}/documents.parquet") else "*.parquet").parquet(d if os.path.isfile(f"{d}/documents.parquet") else f"{d}/documents.parquet")
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    status = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    # a stream reads folders
+    reader = s.readStream.schema(docs.schema)
+    stream = reader.parquet(f"{d}/documents.parquet") if status.isDirectory() else reader.option("pathGlobFilter", "documents.parquet").parquet(d)
     ingest.start(stream, base, "text").awaitTermination()
     ingest.compact(s, base)
     return ingest.payloads(s, base).select("chunk")
