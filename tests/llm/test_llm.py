@@ -351,3 +351,18 @@ def test_pipeline(spark):
             kept = jaccard.jaccard_components(before).where("doc_id = component_id").toPandas()
             assert sorted(df.toPandas().doc_id) == sorted(kept.doc_id)
     assert sorted(pipeline.run(spark, sf).collect()) == sorted(df.collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf, schema = "/root/testdata/sf0.001", "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    odd = [(None, "some plain words here", None, None, None), (900001, None, "en", "s", None), (900002, "", "en", None, 0), (900003, "Same words in one text.", "en", "s", 23), (900003, "Same words in one text.", "en", "s", 23), (900004, "same words IN one text.", "en", "s", 23)]
+    for rows in ([], odd):
+        df = spark.createDataFrame(rows, schema)
+        for k, (name, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, df, sf).collect()
+            assert len(out) <= max(len(rows), 2 * len(rows))
+            if name == "exact_dedup" and rows:
+                assert [r.doc_id for r in out if r.text and r.text.lower().startswith("same")] == [900004] and len(out) == 3
+            if name == "near_dedup" and rows:
+                assert {r.doc_id for r in out} == {None, 900001, 900002, 900003}
