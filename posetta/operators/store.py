@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posetta.functions.digests import canonical, digest, digest_all, sorted_map
-from posetta.operators.components import components  # noqa: F401  (a graph operator of the same family)
 
 COMPRESSED, CHUNKED = 1, 2
 MIN_SIZE, AVG_SIZE, MAX_SIZE = 1 << 16, 1 << 19, 1 << 21
