@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posetta.llm.shingles import U, mixed, runs, shingle_hashes, word_hashes
@@ -234,7 +234,9 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: Dat
     kind = dict(docs.dtypes)[id_col]
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("p"), F.col(text_col).alias("t"))
     rows = rows.mapInArrow(apply, f"id {kind}, c bigint, n bigint, sketch binary, shingles binary")
-    return rows.alias("r").join(wanted.alias("w"), (F.col("r.id") == F.col("w.rep")) & (F.col("r.c") == F.col("w.c")), "left_semi").select("c", "n", "sketch", "shingles").dropDuplicates(["c"])
+    # dealt by class alone, so that the join and the choice of one row share a shuffle
+    same = (F.col("r.c") == F.col("w.c")) & (F.col("r.id") >= F.col("w.rep")) & (F.col("r.id") <= F.col("w.rep"))
+    return rows.alias("r").join(wanted.alias("w"), same, "left_semi").select("c", "n", "sketch", "shingles").dropDuplicates(["c"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -271,6 +273,51 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return near.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b").select("a", "b", "xa", "xb").mapInArrow(exact, "a bigint, b bigint")
 
 
+def around_hubs(open_: DataFrame, sets: DataFrame, edges: np.ndarray, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of different components that can be as similar as asked, among classes near the same hub. open_:
+    (hub, g, c, side, of), of being the component; each class has been held against its hub.
+
+    For a hub P, x and y differ in the same elements as R(x) = x ^ P and R(y) do, so that R(x) and R(y) have
+    (|R(x)| + |R(y)| - d) / 2 elements in common, d being the most in which x and y may differ. In one order of all
+    elements, those not in P first, the first few of both then share one; how few follows from the sizes. Copies
+    that were edited on their own share what they lost with many, but what they gained with hardly any.
+
+    Where that number isn't positive, |R(x)| + |R(y)| <= d: the smaller of the two is linked with P itself, and the
+    other one links with it, and so with the one class of P's component that allows for the most."""
+    shapes = [group_shape(edges, g, num, den) for g in range(len(edges) - 1)]
+    most = np.array([k - r for _, k, r in shapes])
+
+    def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, gap, first = [], [], []
+            for g, p, x in zip(b.column(1).to_pylist(), b.column(5), b.column(6)):
+                p, x = np.frombuffer(p.as_buffer(), U), np.frombuffer(x.as_buffer(), U)
+                new, lost = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+                size.append(len(x))
+                gap.append(len(new) + len(lost))
+                first.append(np.concatenate([new, lost])[: most[g] + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(size, pa.int64()), pa.array(gap, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["hub", "g", "c", "side", "of", "n", "r", "e"])
+
+    full = sets.select("c", "shingles")
+    rows = open_.join(full.toDF("hub", "p"), "hub").join(full.toDF("c", "x"), "c").select("hub", "g", "c", "side", "of", "p", "x")
+    rows = stored(rows.mapInArrow(residuals, "hub bigint, g bigint, c bigint, side bigint, of bigint, n bigint, r bigint, e array<bigint>"), "residuals")
+    d = F.element_at(F.array(*[F.lit(int(k)) for k in most]), (F.col("g") + 1).cast("int"))
+    top = F.element_at(F.array(*[F.lit(int(edges[min(g + 2, len(edges) - 1)])) for g in range(len(most))]), (F.col("g") + 1).cast("int"))
+    hub = rows.where("c = hub").select("hub", "g", F.col("of").alias("hub_of"), F.col("n").alias("hub_n"))
+    known = rows.join(hub, ["hub", "g"])
+    # the larger residual of a pair that isn't in one component is at least what the hub's link allows for, but for the sizes
+    slack = F.floor(F.greatest(F.lit(0), top - F.col("hub_n")) * (den - num) / (2 * (den + num))) + 2
+    short = F.least(F.floor(F.col("r") / 2) + slack, F.floor(d / 2) + 1).cast("int")
+    y = known.select("hub", "g", F.col("c").alias("cy"), F.col("side").alias("sy"), F.col("of").alias("oy"), F.col("n").alias("ny"), F.col("r").alias("ry"), F.posexplode(F.slice("e", F.lit(1), short)).alias("iy", "e"))
+    x = rows.select("hub", "g", F.col("c").alias("cx"), F.col("side").alias("sx"), F.col("of").alias("ox"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.posexplode("e").alias("ix", "e"))
+    may = F.floor((F.col("nx") + F.col("ny")) * (den - num) / (den + num))
+    both = x.join(y, ["hub", "g", "e"]).where(F.expr("ox <> oy and sx + sy < 2 and (rx > ry or rx = ry and cx > cy)") & (2 * F.col("iy") <= F.col("ry") - F.col("rx") + may) & (2 * F.col("ix") <= F.col("rx") - F.col("ry") + may))
+    spare = F.col("n") * (den - num) - F.col("r") * (den + num)
+    best = known.where("of = hub_of").groupBy("hub", "g").agg(F.max(F.struct(spare.alias("spare"), F.col("c").alias("cy"))).alias("best"))
+    close = known.where("of <> hub_of").join(best, ["hub", "g"]).where(spare + F.col("best.spare") >= 0).select(F.col("c").alias("cx"), F.col("best.cy").alias("cy"))
+    return both.select("cx", "cy").union(close).select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, small: int = 32) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id.
 
@@ -281,9 +328,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Similar sets share some number of keys, not just one; see group_shape(). Pairs from keys of up to `small`
     classes are counted, and a pair goes on if it has enough of them together with what it could share of the
-    others. Classes that have enough of those others are first held against the least class of each such key
-    only. Then those of their pairs are tried that aren't connected yet and share enough, so that no link
-    between components is lost, and large groups of near copies don't give all their pairs.
+    others. Classes that have enough of those others are first held against one class of each such key, the one
+    with most of them. Pairs that aren't connected yet then go by what sets them apart from it; see
+    around_hubs(). So no link between components is lost, and large groups don't give all their pairs.
 
     Null ids link nothing and have a null component; rows with one id and different texts connect what each
     is linked with, as one node has all rows of a class; an empty table gives no rows; only the two named
@@ -303,21 +350,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = cand.where("gid is null").groupBy("a", "b", "g").agg(F.sum("n").alias("n"))
     pairs = pairs.join(much.toDF("a", "g", "la"), ["a", "g"], "left").join(much.toDF("b", "g", "lb"), ["b", "g"], "left")
     pairs = pairs.where(F.col("n") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= need).select("a", "b").distinct()
-    large = stored(large.join(much.where(F.col("l") >= need), ["c", "g"], "left_semi"), "large")
-    least = large.groupBy("gid", "g").agg(F.min("c").alias("a"))
-    stars = large.join(least, ["gid", "g"]).where("a < c").select("a", F.col("c").alias("b"))
+    large = stored(large.join(much.where(F.col("l") >= need), ["c", "g"]), "large")
+    # the class with most such keys is the one most of the others are near to
+    hubs = large.groupBy("gid", "g").agg(F.max(F.struct("l", "c")).alias("hub")).select("gid", "g", F.col("hub.c").alias("hub"))
+    # of the shared keys, fewer than needed can be left out, in one order for all: those whose hubs have the fewest
+    led = large.join(hubs, ["gid", "g"])
+    led = led.join(led.groupBy("hub", "g").agg(F.sum("n").alias("leads")), ["hub", "g"])
+    so_far = Window.partitionBy("c", "g").orderBy("leads", "hub", "gid").rowsBetween(Window.unboundedPreceding, 0)
+    large = stored(led.withColumn("kept", F.sum("n").over(so_far)).where(F.col("kept") >= need).select("gid", "g", "c", "side", "hub"), "led")
+    stars = large.where("hub <> c").select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b"))
     pairs = stored(pairs.union(stars).distinct(), "tried")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(large.select("c")).distinct().join(reps, "c")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(large.select("c")).union(large.select("hub")).distinct().join(reps, "c")
     sets = stored(sets_of(docs, id_col, text_col, width, stored(wanted, "wanted")), "sets")
     links = stored(verified(pairs, sets, num, den), "links")
     label = components(links)
-    open_ = large.join(label, F.col("c") == F.col("node"), "left").select("gid", "g", "c", "side", "n", F.coalesce("component", "c").alias("of"))
+    open_ = large.join(label, F.col("c") == F.col("node"), "left").select("gid", "g", "c", "side", "hub", F.coalesce("component", "c").alias("of"))
     several = open_.groupBy("gid", "g").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
-    open_ = stored(open_.join(several, ["gid", "g"], "left_semi"), "open")
+    open_ = open_.join(several, ["gid", "g"], "left_semi").select("hub", "g", "c", "side", "of").distinct()
+    own = open_.select("hub", "g").distinct().join(label, F.col("hub") == F.col("node"), "left")
+    own = own.select("hub", "g", F.col("hub").alias("c"), F.lit(0).cast("long").alias("side"), F.coalesce("component", "hub").alias("of"))
+    open_ = stored(open_.where("c <> hub").union(own), "open")
     if not open_.isEmpty():
-        x, y = open_.toDF("gid", "g", "a", "sa", "n", "oa"), open_.toDF("gid", "g", "b", "sb", "m", "ob")
-        more = x.join(y, ["gid", "g"]).where("a < b and oa <> ob and sa + sb < 2").groupBy("a", "b", "g").agg(F.sum("n").alias("n"))
-        more = more.where(F.col("n") >= need).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = around_hubs(open_, sets, edges, num, den).join(pairs, ["a", "b"], "left_anti")
         links = stored(links.union(verified(more, sets, num, den)), "links")
         label = components(links)
     least = reps.join(label, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("component", "c").alias("of"))
