@@ -157,6 +157,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     on = F.col(f"d.{id_col}").eqNullSafe(F.col("c.id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("c.source")) & (F.col("d._posetta_size") == F.col("c.size")) & (F.col("d._posetta_nth") == F.col("c.nth"))
     both = full.alias("d").join(cuts.alias("c"), on)
     words = F.regexp_extract_all(F.col(f"d.{text_col}"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), 0)
-    text = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["from"] + 1).cast("int"), (c["to"] - c["from"]).cast("int")))), "")
+    # the words are in the fold's state, so that a text is split once, not for each cut
+    start = F.struct(words.alias("w"), F.array().cast("array<string>").alias("out"))
+    text = F.aggregate("cuts", start, lambda s, c: F.struct(s["w"].alias("w"), F.concat(s["out"], F.slice(s["w"], (c["from"] + 1).cast("int"), (c["to"] - c["from"]).cast("int"))).alias("out")), lambda s: F.array_join(s["out"], ""))
     out = [F.col(f"d.{c}") if c not in (text_col, "n_chars") else F.col("_posetta_text").alias(text_col) if c == text_col else F.char_length("_posetta_text").cast("long").alias(c) for c in docs.columns]
     return both.withColumn("_posetta_text", text).select(*out)
