@@ -150,6 +150,28 @@ def test_passages(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def covered_words(rows):
+    out = collections.defaultdict(set)
+    for r in rows:
+        out[r.doc_id].update(range(r.start_word, r.end_word))
+        out[r.ref_doc_id].update(range(r.ref_start, r.ref_end))
+    return out
+
+
+def test_passages_that_stand_twice_in_a_document(spark):
+    rng = random.Random(31)
+    texts = []
+    for k in range(20):
+        shared = words(rng, 55 + 5 * k)
+        twice, once = [words(rng, 40), shared, words(rng, 60), shared, words(rng, 30)], [words(rng, 70), shared, words(rng, 20)]
+        texts += [" ".join(t) for t in ((twice, once) if k % 2 else (once, twice))]
+    covered = covered_words(passages.repeated_passages(docs(spark, texts)).collect())
+    for k in range(20):
+        n, both, one = 55 + 5 * k, 2 * k + 1 - k % 2, 2 * k + k % 2
+        assert covered[both] >= {*range(40, 40 + n), *range(100 + n, 100 + 2 * n)}
+        assert covered[one] >= set(range(70, 70 + n))
+
+
 def brute_components(sets, ids):
     label = list(range(len(sets)))
 
