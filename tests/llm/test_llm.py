@@ -172,6 +172,21 @@ def test_passages_that_stand_twice_in_a_document(spark):
         assert covered[one] >= set(range(70, 70 + n))
 
 
+@pytest.mark.parametrize("common,own", [(40, 20), (45, 15)])
+def test_passages_behind_boilerplate(spark, common, own):
+    rng = random.Random(32)
+    boilerplate, texts, need = words(rng, common), [], {}
+    for k in range(240):
+        shared = words(rng, own)
+        for _ in range(2 if k % 2 else 1):
+            before = rng.randint(60, 90)
+            need[len(texts)] = set(range(before, before + common + own)) if k % 2 else set()
+            texts.append(" ".join([words(rng, before), boilerplate, shared, words(rng, 60)]))
+    order = rng.sample(range(len(texts)), len(texts))
+    covered = covered_words(passages.repeated_passages(docs(spark, [texts[i] for i in order])).collect())
+    assert [i for k, i in enumerate(order) if not need[i] <= covered[k]] == []
+
+
 def brute_components(sets, ids):
     label = list(range(len(sets)))
 
