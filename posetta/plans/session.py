@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Where the tables are that stored() has made and that are still referred to.
+_PATHS: dict[int, str] = {}
 
 
 def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -24,6 +27,7 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # else each column call looks up its caller
         .getOrCreate()
     )
 
@@ -55,4 +59,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that stored() made, once nothing reads them any more, through the file system that Spark uses.
+    What a result still reads stays until the folder itself is cleared."""
+    for df in tables:
+        if path := _PATHS.pop(id(df), None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
