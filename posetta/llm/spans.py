@@ -2,31 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:bigint,end:bigint,kind:int,hit:string,part:string>>"
+#: With the text around a match, up to its neighbours.
+SPAN_AROUND = SPAN[:-2] + ",before:string,after:string>>"
+#: Rows whose running sum is built at once; see running_sums().
+CHUNK = 256
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often the lambdas in use() refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running_sums(x: str) -> str:
+    """SQL: sums of all elements of x, an array of longs that isn't empty, before each one. Arrays can't be changed
+    in place and an append copies them, so appends are made to chunks of CHUNK sums, and to an array of one
+    sum for each chunk."""
+    start = lambda at: f"named_struct('at', {at}, 'sums', cast(array() as array<bigint>))"
+    append = "(s, v) -> named_struct('at', s.at + v, 'sums', concat(s.sums, array(s.at))), s -> s.sums"
+    firsts = f"aggregate(transform(chunks, y -> aggregate(y, 0L, (a, b) -> a + b)), {start('0L')}, {append})"
+    sums = f"flatten(transform(chunks, (y, k) -> aggregate(y, {start('firsts[k]')}, {append})))"
+    chunks = f"transform(sequence(0, cast(floor((size({x}) - 1) / {CHUNK}) as int)), k -> slice({x}, k * {CHUNK} + 1, {CHUNK}))"
+    return bound("chunks", chunks, bound("firsts", firsts, sums))
+
+
+def bound(name: str, value: str, use: str) -> str:
+    """SQL: use, in which name is value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
+
+
+def matches(text: str, pattern: str, kind: int, part: int = 0, around: int = 0) -> Column:
+    """All leftmost non-overlapping matches of pattern in the column of that name: array of (start, end, kind,
+    hit, part), part being that group; with around, also so many characters before and after, from the gaps
+    to the neighbours. The gaps between matches and the matches themselves alternate, so that running sums of
+    their lengths give every position; a text without a match only pays for the test. The pattern mustn't
+    match the empty string. (It's built as SQL text because building such trees by calls takes seconds.)"""
+    p = "r'" + pattern.replace("'", r"\x27") + "'"
+    shape = SPAN_AROUND if around else SPAN
+    gap = f"named_struct('n', char_length(g)" + (f", 'before', right(g, {around}), 'after', left(g, {around}))" if around else ")")
+    rows = f"arrays_zip(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {part}), transform(split({text}, {p}, -1), g -> {gap}))"
+    # the fields of a row are hit, part and gap; the last gap has no match after it
+    rows = f"transform({rows}, z -> named_struct('hit', z['0'], 'part', z['1'], 'gap', z['2']))"
+    sums = running_sums("steps")
+    end = "cast(at + x.gap.n as bigint)"
+    one = f"named_struct('start', {end}, 'end', {end} + char_length(x.hit), 'kind', {kind}, 'hit', x.hit, 'part', x.part" + (", 'before', x.gap.before, 'after', x.after)" if around else ")")
+    last = "transform(r, (x, i) -> named_struct('hit', x.hit, 'part', x.part, 'gap', x.gap, 'after', get(r, i + 1).gap.after))" if around else "r"
+    steps = "transform(r, x -> cast(x.gap.n + coalesce(char_length(x.hit), 0) as bigint))"
+    placed = bound("r", rows, f"filter(zip_with({last}, {bound('steps', steps, sums)}, (x, at) -> {one}), x -> x.hit is not null)")
+    return F.expr(f"case when {text} rlike {p} then cast({placed} as {shape}) else cast(array() as {shape}) end")
 
 
-def matches(text: Column, pattern: str, kind: int, part: int = 0) -> Column:
-    """All leftmost non-overlapping matches of pattern: array of (start, end, kind, hit, part), part being
-    that group. The gaps between matches and the matches themselves alternate, so that adding up their
-    lengths gives every position; a text without a match only pays for the test. The pattern mustn't match
-    the empty string."""
-    gaps = F.split(text, F.lit(pattern), -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-    parts = F.regexp_extract_all(text, F.lit(pattern), part) if part else hits
-    rows = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(hits)), lambda g: F.char_length(g).cast("long")).alias("gap"), hits.alias("hit"), parts.alias("part"))
-    placed = F.aggregate(
-        rows,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("all")),
-        lambda s, r: F.struct(
-            (s["at"] + r["gap"] + F.char_length(r["hit"])).cast("long").alias("at"),
-            F.concat(s["all"], F.array(F.struct((s["at"] + r["gap"]).cast("long").alias("start"), (s["at"] + r["gap"] + F.char_length(r["hit"])).cast("long").alias("end"), F.lit(kind).alias("kind"), r["hit"].alias("hit"), r["part"].alias("part")))).cast(SPAN).alias("all"),
-        ),
-        lambda s: s["all"],
-    )
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(SPAN))
+def bare(s: Column) -> Column:
+    """A span without the text around it."""
+    return F.struct(*[s[x].alias(x) for x in ("start", "end", "kind", "hit", "part")])
 
 
 def joined(spans: Column, kinds: list[str]) -> Column:
@@ -36,9 +69,14 @@ def joined(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(order, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def apart(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+def apart(spans: str, others: str) -> Column:
+    """The spans in the column of that name that overlap none of the others: an array of arrays, of spans of one
+    kind each, which don't overlap each other and come by start. So halving finds the last one that starts
+    before a span's end, and it overlaps the span if any does."""
+    half = bound("m", "shiftright(r.lo + r.hi, 1)", "case when r.lo >= r.hi then r when get(o, m).`start` < s.`end` then named_struct('lo', m + 1, 'hi', r.hi) else named_struct('lo', r.lo, 'hi', m) end")
+    before = f"aggregate(sequence(0, cast(log2(size(o)) as int)), named_struct('lo', 0, 'hi', size(o)), (r, k) -> {half}, r -> r.lo)"
+    free = f"(size(o) = 0 or not coalesce(get(o, {before} - 1).`end` > s.`start`, false))"
+    return F.expr(bound("kinds", others, f"filter({spans}, s -> forall(kinds, o -> {free}))"))
 
 
 def of_kind(spans: Column, kind: int) -> Column:
