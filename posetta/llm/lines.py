@@ -1,61 +1,72 @@
-"""Line dedup by winnowing (operator 2), DataFrame functions only."""
+"""Line dedup by winnowing (operator 2), DataFrame functions only.
+
+A run of lines is worth finding from `words` words on. So a window is a line and the next ones, or the ones
+before it, up to that many words in all; a long line is a window of its own, and short ones share one. Of
+each window the line with the least hash is its fingerprint. A repeated run of that many words has the same
+windows in both places, each of its lines is in one of them, and so it has common fingerprints."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posetta.llm.spans import let
+from posetta.llm.words import WORD_COUNT
 from posetta.plans.session import stored
 
 
-def winnowed(hashes: Column, gram: int, window: Column | int) -> Column:
-    """Positions of the fingerprints of a sequence of line hashes: of the hashes of gram lines in a row, the
-    least of each window (the last one of ties); of fewer than a window, the least of all."""
-    n = F.size(hashes) - (gram - 1)
-    grams = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(*[F.element_at(hashes, i + 1 + k) for k in range(gram)]).alias("g"), (-i).alias("i")))
-    at = lambda w: F.array_min(w)
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), lambda i: at(F.slice(grams, i + 1, F.lit(window))))
-    return F.when(n > 0, F.transform(F.array_distinct(windows), lambda x: F.struct(x["g"].alias("g"), (-x["i"]).alias("pos"))))
+def windows(hashes: Column, more: Column, sizes: Column, words: int) -> Column:
+    """Array of (g, w, lo, hi): for each window of a sequence of lines, first and last line, its fingerprint
+    (the least line hash) and a hash of all of it, from other hashes of the lines. sizes are the lines' words,
+    one at least, so that no window has more than `words` lines."""
+    n = F.size(hashes)
+
+    def span(i: Column, step: int) -> Column:
+        """How many lines a window that begins at i has, going forward (step 1) or back; 0 if there are too few."""
+        size = lambda k: F.coalesce(F.get(sizes, i + step * k), F.lit(0)) if step > 0 else F.when(i >= k, F.get(sizes, i - k)).otherwise(F.lit(0))
+        look = lambda s, k: F.when(s["sum"] >= words, s).otherwise(F.struct((s["sum"] + size(k)).alias("sum"), (s["n"] + 1).alias("n")))
+        # a line with words enough needs no look at others
+        rest = F.aggregate(F.sequence(F.lit(1), F.lit(words - 1)), F.struct(F.get(sizes, i).alias("sum"), F.lit(1).alias("n")), look, lambda s: F.when(s["sum"] >= words, s["n"]).otherwise(F.lit(0)))
+        return F.when(F.get(sizes, i) >= words, F.lit(1)).otherwise(rest if words > 1 else F.lit(0))
+
+    def at(i: Column) -> Column:
+        ahead, back = span(i, 1), span(i, -1)
+        one = lambda lo, m: F.struct(F.array_min(F.slice(hashes, lo + 1, m)).alias("g"), F.xxhash64(F.slice(more, lo + 1, m)).alias("w"), lo.alias("lo"), (lo + m - 1).alias("hi"))
+        both = let(F.struct(ahead.alias("a"), back.alias("b")), lambda p: F.filter(F.array(F.when(p["a"] > 0, one(i, p["a"])), F.when(p["b"] > 1, one(i - p["b"] + 1, p["b"]))), lambda w: w.isNotNull()))
+        return both
 
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 2, window: int = 2) -> DataFrame:
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """One row per row of docs: id, n_lines, removed (line numbers from 0, ascending), clean (the text without
     them).
 
-    Lines are compared whole, byte by byte through 64-bit hashes; blank lines are skipped over and always
-    stay. Fingerprints are hashes of gram lines in a row, of which each window of that many keeps its least:
-    a run of gram + window - 1 lines that is there twice has a common fingerprint in both places. Each
-    fingerprint's later positions are joined with its first one (by id, then text, then line), both
-    documents are laid side by side at that distance, and the match is extended both ways line by line; the
-    later copies of runs of gram lines or more go. A line only goes if the same line stands earlier, so
-    the first copy always stays.
-
-    Joins are with one first position for a fingerprint, not among all; those of frequent fingerprints are
-    split by the adaptive skew join. Null texts count as empty; an empty text is one blank line. Rows with
-    the same id and text count as one document, and each gets its result. Null ids come first. An empty
-    table gives no rows; only the two named columns are read."""
+    Runs of lines with `words` words or more that stand earlier (by id, null first, then by the text's hash,
+    then by line) go, however the earlier copies are spread: each window's fingerprint is joined with the
+    first position of the same window, and from it the match is extended both ways to the window's ends, and
+    on over the windows that follow. All lines of such a run are in windows that stand in the earlier copy
+    too, so none is missed; a line only goes if it stands earlier in such a run, so the first copy of each
+    line stays. Shorter lines that repeat on their own (headings, brackets) stay.
+
+    Lines are compared byte by byte through two 64-bit hashes; blank lines are skipped over and always stay.
+    Positions are reduced to the first one before they are shuffled, so that a line that very many documents
+    have doesn't meet in one task, and the rows that refer to it are split by the adaptive skew join. Null
+    texts count as empty; an empty text is one blank line. Rows with the same id and text count as one
+    document, and each gets its result. An empty table gives no rows; only the two named columns are read."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    lines = F.split("t", "\n", -1)
-    solid = F.filter(F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("line"), (F.length(F.btrim(x, F.lit(" \t\r"))) > 0).alias("some"))), lambda x: x["some"])
-    rows = full.select("id", "th", solid.alias("s")).select(F.struct("id", "th").alias("d"), F.col("s.h").alias("h"), F.col("s.line").alias("line")).where(F.size("h") >= gram)
-    rows = stored(rows, "line-hashes").dropDuplicates(["d"])
-    marks = rows.select("d", F.explode(winnowed(F.col("h"), gram, window)).alias("f")).select(F.col("f.g").alias("g"), "d", F.col("f.pos").alias("pos"))
-    marks = stored(marks, "fingerprints")
-    first = marks.groupBy("g").agg(F.min(F.struct("d", "pos")).alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("g", "a")
-    met = marks.join(first, "g").where(F.struct("d", "pos") != F.col("a"))
-    met = met.select("d", F.col("a.d").alias("e"), (F.col("pos") - F.col("a.pos")).alias("off")).distinct()
-    side = met.join(rows.select(F.col("d").alias("e"), F.col("h").alias("there")), "e").join(rows, "d")
-    same = lambda i: (i >= 0) & (i < F.size("h")) & (i - F.col("off") >= 0) & (i - F.col("off") < F.size("there")) & (F.get("h", i) == F.get("there", i - F.col("off")))
-    flags = side.select("d", "line", F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.coalesce(same(i), F.lit(False))).alias("eq"))
-    run = lambda i: F.forall(F.sequence(i, i + gram - 1), lambda k: F.coalesce(F.get("eq", k), F.lit(False)))
-    gone = F.filter(F.sequence(F.lit(0), F.size("eq") - 1), lambda i: F.exists(F.sequence(i - gram + 1, i), lambda k: (k >= 0) & run(k)))
-    gone = flags.select("d", F.explode(F.transform(gone, lambda i: F.get("line", i))).alias("line"))
-    gone = gone.groupBy("d").agg(F.sort_array(F.collect_set("line")).alias("removed")).select("d.id", "d.th", "removed")
+    solid = F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("m"), i.alias("line"), F.least(WORD_COUNT(x), F.lit(words)).cast("int").alias("n"))), lambda x: x["n"] > 0)
+    rows = full.select("id", "th", solid.alias("s")).select(F.struct("id", "th").alias("d"), F.col("s.h").alias("h"), F.col("s.m").alias("m"), F.col("s.n").alias("n"), F.col("s.line").alias("line")).where(F.size("h") > 0)
+    rows = stored(rows, "line-hashes")
+    marks = rows.select("d", "line", F.explode(windows(F.col("h"), F.col("m"), F.col("n"), words)).alias("f"))
+    marks = stored(marks.select("d", F.col("f.g").alias("g"), F.col("f.w").alias("w"), F.get("line", F.col("f.lo")).alias("lo"), F.slice("line", F.col("f.lo") + 1, F.col("f.hi") - F.col("f.lo") + 1).alias("lines")), "fingerprints")
+    first = marks.groupBy("g", "w").agg(F.min(F.struct("d", "lo")).alias("a"), F.max(F.struct("d", "lo")).alias("z")).where("a <> z").select("g", "w", "a")
+    met = marks.join(first, ["g", "w"]).where(F.struct("d", "lo") != F.col("a"))
+    gone = met.select("d", F.explode("lines").alias("line")).groupBy("d").agg(F.sort_array(F.collect_set("line")).alias("removed")).select("d.id", "d.th", "removed")
     out = full.alias("f").join(gone.alias("g"), F.col("f.id").eqNullSafe(F.col("g.id")) & (F.col("f.th") == F.col("g.th")), "left").select("f.id", "t", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
-    drop = F.map_from_arrays("removed", F.transform("removed", lambda _: F.lit(True)))
-    out = out.withColumn("drop", drop)
-    clean = F.array_join(F.filter(F.split("t", "\n", -1), lambda x, i: ~F.coalesce(F.element_at("drop", i), F.lit(False))), "\n")
+    stays = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed"))
+    clean = let(F.split("t", "\n", -1), lambda x: F.array_join(F.transform(stays(x), lambda i: F.get(x, i)), "\n"))
     return out.select(F.col("id").alias(id_col), F.size(F.split("t", "\n", -1)).cast("long").alias("n_lines"), "removed", F.when(F.size("removed") == 0, F.col("t")).otherwise(clean).alias("clean"))
 
 
