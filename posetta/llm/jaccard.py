@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posetta.llm.shingles import U, mixed, runs, shingle_hashes, word_hashes
-from posetta.operators.components import components
-from posetta.plans.session import stored
+from posetta.llm.words import arrow_kind, slot_bitmap
+from posetta.operators.components import components, joined
+from posetta.plans.session import dropped, stored
 
 SLOTS, SLICES = 1 << 18, 16
 SKETCH_WORDS = 16
-KEYS_A_PART = 1_000_000
+KEYS_A_PART = 500_000
+#: Classes that a task remembers, so as to tell copies once; beyond it, it forgets them, and copies are told again.
+REMEMBERED = 100_000
 
 
 def band_edges(most: int, num: int, den: int) -> np.ndarray:
@@ -104,7 +107,7 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int) ->
         none = pa.nulls(SLICES)
         yield pa.RecordBatch.from_arrays([none.cast(ids), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "n", "c", "slice", "counts"])
 
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    ids = arrow_kind(docs, id_col)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(apply, f"id {kind}, n bigint, c bigint, slice int, counts binary")
 
 
@@ -158,12 +161,14 @@ def candidate_pairs(docs: DataFrame, text_col: str, width: int, heavy: np.ndarra
             for _, s in shingle_sets(b.column(0).to_pylist(), width):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(c)  # copies in one task are told once
                 for g, side, k in block_keys(s, (~heavy[(s % U(SLOTS)).astype(np.int64)]).astype(float), edges, num, den):
                     whose.append((c, g, side))
                     keys.append(k)
                     held += len(k)
-                if held > 2 * KEYS_A_PART:
+                if held > 4 * KEYS_A_PART:
                     yield flush()
                     whose, keys, held = [], [], 0
         if keys:
@@ -207,7 +212,8 @@ def candidate_pairs(docs: DataFrame, text_col: str, width: int, heavy: np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(w, gid)), pa.array(who[start : start + w]), pa.array((at[start : start + w] & 1).astype(np.int64)), pa.array(np.full(w, g)), pa.array(np.full(w, n))], ["gid", "a", "b", "g", "n"])
 
     blobs = docs.select(text_col).mapInArrow(keyed, "part int, classes binary, places binary, times binary, keys binary")
-    return blobs.repartition(parts, "part").mapInArrow(met, "gid bigint, a bigint, b bigint, g bigint, n bigint")
+    # a part is a partition, so that a task holds one
+    return blobs.repartitionById(parts, F.col("part")).mapInArrow(met, "gid bigint, a bigint, b bigint, g bigint, n bigint")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -215,17 +221,12 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: Dat
     many there are, spares most other texts the work; the join then decides."""
     n = wanted.count()
     bits = 1 << min(27, max(16, (16 * n).bit_length()))
-    slot = F.pmod(F.xxhash64("rep"), F.lit(bits))
-    words = wanted.select(slot.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v")).collect()
-    bitmap = np.zeros(bits // 64, np.int64)
-    for r in words:
-        bitmap[r["w"]] = r["v"]
-    bitmap = bitmap.view(np.uint64)
+    bitmap = docs.sparkSession.sparkContext.broadcast(slot_bitmap(wanted, "rep", bits))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column(1).to_numpy()
-            at = np.flatnonzero((bitmap[p // 64] >> (p % 64).astype(U)) & U(1))
+            at = np.flatnonzero((bitmap.value[p // 64] >> (p % 64).astype(U)) & U(1))
             some = b.take(pa.array(at))
             rows = [(class_of(s), len(s), parity_sketch(s), s.tobytes()) for _, s in shingle_sets(some.column(2).to_pylist(), width)]
             if rows:
@@ -357,23 +358,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     led = large.join(hubs, ["gid", "g"])
     led = led.join(led.groupBy("hub", "g").agg(F.sum("n").alias("leads")), ["hub", "g"])
     so_far = Window.partitionBy("c", "g").orderBy("leads", "hub", "gid").rowsBetween(Window.unboundedPreceding, 0)
-    large = stored(led.withColumn("kept", F.sum("n").over(so_far)).where(F.col("kept") >= need).select("gid", "g", "c", "side", "hub"), "led")
-    stars = large.where("hub <> c").select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b"))
+    kept = stored(led.withColumn("kept", F.sum("n").over(so_far)).where(F.col("kept") >= need).select("gid", "g", "c", "side", "hub"), "led")
+    stars = kept.where("hub <> c").select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b"))
     pairs = stored(pairs.union(stars).distinct(), "tried")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(large.select("c")).union(large.select("hub")).distinct().join(reps, "c")
-    sets = stored(sets_of(docs, id_col, text_col, width, stored(wanted, "wanted")), "sets")
+    dropped(cand, large)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(kept.select("c")).union(kept.select("hub")).distinct().join(reps, "c")
+    wanted = stored(wanted, "wanted")
+    sets = stored(sets_of(docs, id_col, text_col, width, wanted), "sets")
+    dropped(wanted)
     links = stored(verified(pairs, sets, num, den), "links")
-    label = components(links)
-    open_ = large.join(label, F.col("c") == F.col("node"), "left").select("gid", "g", "c", "side", "hub", F.coalesce("component", "c").alias("of"))
+    label = stored(components(links), "labels")
+    dropped(links)
+    open_ = kept.join(label, F.col("c") == F.col("node"), "left").select("gid", "g", "c", "side", "hub", F.coalesce("component", "c").alias("of"))
     several = open_.groupBy("gid", "g").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
     open_ = open_.join(several, ["gid", "g"], "left_semi").select("hub", "g", "c", "side", "of").distinct()
     own = open_.select("hub", "g").distinct().join(label, F.col("hub") == F.col("node"), "left")
     own = own.select("hub", "g", F.col("hub").alias("c"), F.lit(0).cast("long").alias("side"), F.coalesce("component", "hub").alias("of"))
     open_ = stored(open_.where("c <> hub").union(own), "open")
     if not open_.isEmpty():
-        more = around_hubs(open_, sets, edges, num, den).join(pairs, ["a", "b"], "left_anti")
-        links = stored(links.union(verified(more, sets, num, den)), "links")
-        label = components(links)
+        more = stored(around_hubs(open_, sets, edges, num, den).join(pairs, ["a", "b"], "left_anti"), "more")
+        links = stored(verified(more, sets, num, den), "links")
+        if not links.isEmpty():
+            label = stored(joined(label, links), "labels")
+        dropped(more, links)
+    dropped(open_, sets, pairs, kept)
     least = reps.join(label, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("component", "c").alias("of"))
     first = least.groupBy("of").agg(F.min("rep").alias("component_id"))
     least = least.join(first, "of").select("c", "component_id")
