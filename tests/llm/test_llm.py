@@ -15,13 +15,20 @@ from posetta.llm import bpe, exact_dedup, jaccard, lines, mixing, passages, pii,
 
 FOLD = str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _size int, _h string, c int"
+ODD = "_size int, _h string, c int, _id int, _t string, id int, slice int, part int, ka int, cuts string, copy int, h string, _posetta_score double, score double"
+SCHEMA = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {ODD}"
+NO_ID = "one row that has no id"
 
 
 def docs(spark, texts, sources=None):
     """Rows with odd extra columns; ids from 0, the last row repeated and one row without an id."""
-    rows = [(i, t, "en", (sources or ["s"] * len(texts))[i], len(t or ""), i, "h", 1) for i, t in enumerate(texts)]
-    return spark.createDataFrame([*rows, *rows[-1:]], SCHEMA)
+    odd = (1, "h", 1, 2, "t", 3, 4, 5, 6, "x", 7, "y", 0.5, 0.25)
+    rows = [(i, t, "en", (sources or ["s"] * len(texts))[i], len(t or ""), *odd) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, *rows[-1:], (None, NO_ID, "en", (sources or ["s"])[0], len(NO_ID), *odd)], SCHEMA)
+
+
+def text_of(texts, i):
+    return NO_ID if i is None else texts[i] or ""
 
 
 @pytest.fixture(scope="module")
@@ -43,10 +50,10 @@ SECRET_TEXTS = [None, "", 'é password = "hunter22" x', "PASSWD:abc token==abcde
 def test_secrets(spark, empty):
     df = docs(spark, SECRET_TEXTS)
     got = secrets.digest(secrets.scan_secrets(df)).collect()
-    assert len(got) == len(SECRET_TEXTS) + 1 and secrets.scan_secrets(empty).count() == 0
+    assert len(got) == len(SECRET_TEXTS) + 2 and secrets.scan_secrets(empty).count() == 0
     patterns = [("assign", re.compile(r"(?a)(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
     for r in got:
-        t = SECRET_TEXTS[r.doc_id] or ""
+        t = text_of(SECRET_TEXTS, r.doc_id)
         want = [(m.start(), k, name, m.end()) for k, (name, p) in enumerate(patterns) for m in p.finditer(t) if (k == 0 and len(m[2]) >= 6) or (k == 1 and len(m[0]) >= 20) or (k == 2 and len(m[0]) >= 24)]
         assert r.base_sha256 == span_digest(want)
         assert (r.n_entropy > 0) == (r.doc_id == 7), r
@@ -73,21 +80,59 @@ PII_TEXTS = [None, "", "mail é a.b@c.de, a@b@c.d.e. x@y", "1.2.3.4.5.6.7.8 256.
 
 def test_pii(spark, empty):
     got = pii.digest(pii.find_pii(docs(spark, PII_TEXTS))).collect()
-    assert len(got) == len(PII_TEXTS) + 1 and pii.find_pii(empty).count() == 0
+    assert len(got) == len(PII_TEXTS) + 2 and pii.find_pii(empty).count() == 0
     rules = [("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m, d: True), ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m, d: all(int(x) <= 255 for x in m.split("."))), ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m, d: 12 <= len(d) <= 19 and luhn(d)), ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m, d: 9 <= len(d) <= 15)]
     for r in got:
-        t = (PII_TEXTS[r.doc_id] or "") if r.doc_id != 7 else ""  # the pattern as it stands is quadratic on that one
+        t = text_of(PII_TEXTS, r.doc_id) if r.doc_id != 7 else ""  # the pattern as it stands is quadratic on that one
         want = [(m.start(), k, name, m.end()) for k, (name, p, ok) in enumerate(rules) for m in p.finditer(t) if ok(m[0], re.sub("[^0-9]", "", m[0]))]
         assert r.base_sha256 == span_digest(want), r.doc_id
         assert set(f"{n}:{a}:{b}" for a, _, n, b in want) <= set(r.spans.split(","))
 
 
-def test_votes_are_weighed():
-    patterns = [((1, 1, 1, 1), 500.0), ((1, 1, 1, 0), 300.0), ((1, -1, -1, -1), 400.0), ((1, -1, -1, 0), 200.0), ((1, 0, 1, 1), 20.0), ((1, 0, -1, -1), 20.0)]
-    prior, like = pii.reliabilities(patterns)
-    w = pii.classifier(patterns, prior, like)
-    p = {v: pii.probability(w, pii.features(v)) for v, _ in patterns}
-    assert p[1, 0, 1, 1] > 0.8 and p[1, 0, -1, -1] < 0.2 and like[1][1][0] > like[0][1][0] - 0.2
+def test_reliabilities_by_kind():
+    """A labeler that agrees with the others is relied on, one that contradicts them isn't; drawn votes give back how they were drawn."""
+    rng = np.random.default_rng(11)
+    true = rng.random(20_000) < 0.6
+    right = [0.9, 0.8, 0.7, 0.4]
+    votes = np.stack([np.where(rng.random(len(true)) < r, np.where(true, 1, -1), np.where(true, -1, 1)) for r in right], 1)
+    counts = collections.Counter(map(tuple, votes.tolist()))
+    prior, like = pii.reliabilities(sorted((v, float(n)) for v, n in counts.items()), 300)
+    assert abs(prior - 0.6) < 0.05 and all(abs(like[k][1][0] - right[k]) < 0.05 and abs(like[k][-1][1] - right[k]) < 0.05 for k in range(4))
+    assert pii.posterior((1, 1, 1, -1), prior, like) > 0.95 > 0.05 > pii.posterior((-1, -1, -1, 1), prior, like)
+
+
+def test_the_classifier_sees_what_votes_do_not():
+    """Candidates with the same undecided votes are told apart by the words around them."""
+    rng = np.random.default_rng(12)
+    rows, post = [], []
+    for _ in range(1500):
+        true = rng.random() < 0.5
+        votes = (1, 1 if rng.random() < (0.8 if true else 0.2) else -1, 1 if rng.random() < (0.8 if true else 0.2) else -1, 0)
+        rows.append((5, votes, [3, 2, int(rng.integers(0, 8)) + 20 * true, int(rng.integers(0, 64)), int(rng.integers(0, 64))]))
+        post.append({2: 0.94, 0: 0.5, -2: 0.06}[votes[1] + votes[2]])
+    w = pii.classifier(rows, post, [1.0] * len(rows))
+    for word in range(8):
+        assert pii.probability(w, 5, (1, 1, -1, 0), [3, 2, 20 + word, 1, 1]) > pii.probability(w, 5, (1, 1, -1, 0), [3, 2, word, 1, 1])
+
+
+def test_account_sums_and_chances(spark):
+    df = spark.createDataFrame([("GB82WEST12345698765432",), ("DE89370400440532013000",), ("DE89370400440532013001",)], "n string")
+    assert [r[0] for r in df.select(pii.account_sum(F.col("n"))).collect()] == [True, True, False]
+    w = np.random.default_rng(13).standard_normal(pii.layout()[1])
+    x = spark.createDataFrame([((5,), [1, 0, -1, 1], [31, 7, 63, 0, 12]), ((0,), [1, -1, 1, 0], [0, 0, 1, 2, 3])], "s struct<kind:int>, v array<int>, f array<int>")
+    for r in x.select("*", pii.chance(F.struct("s", "v", "f"), w).alias("p")).collect():
+        assert r.p == pytest.approx(pii.probability(w, r.s.kind, tuple(r.v), r.f), abs=1e-6)
+
+
+def test_added_spans(spark):
+    """Looser kinds are found where context speaks for them, and left alone where it speaks against them."""
+    rng = random.Random(14)
+    texts = []
+    for k in range(120):
+        texts.append(f"{words(rng, 8)} call {rng.randint(2, 9)}{rng.randint(0, 8)}{rng.randint(0, 9)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)} {words(rng, 5)}")
+        texts.append(f"{words(rng, 8)} part no {rng.randint(990, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)} {words(rng, 5)}")
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(docs(spark, texts))).collect()}
+    assert sum("national_phone" in got[i] for i in range(0, 240, 2)) >= 114 and not any("national_phone" in got[i] for i in range(1, 240, 2))
 
 
 def test_exact_dedup(spark, empty):
@@ -99,29 +144,79 @@ def test_exact_dedup(spark, empty):
         for i, t in [*enumerate(texts), (len(texts) - 1, texts[-1])]:
             groups[(t or "").translate(FOLD)].append(i)
         want = sorted((i, best(g), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
-        assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
-        assert sorted(r.doc_id for r in got if r.kept) == sorted(best(g) for g in groups.values())
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got if r.doc_id is not None) == want
+        assert sorted(r.doc_id for r in got if r.kept and r.doc_id is not None) == sorted(best(g) for g in groups.values())
+        assert [(r.keep_id, r.group_size, r.kept) for r in got if r.doc_id is None] == [(None, 1, True)]
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def without_repeats(texts, words):
+    """Lines that stand in a run of so many words that stands earlier, by trying every run of lines."""
+    seen, gone = set(), []
+    for t in texts:
+        solid = [(k, x, len(WORD.findall(x))) for k, x in enumerate(t.split("\n")) if WORD.search(x)]
+        out, new = set(), []
+        for a in range(len(solid)):
+            for b in range(a + 1, min(len(solid), a + 2 * words) + 1):
+                run = tuple(x for _, x, _ in solid[a:b])
+                if sum(n for _, _, n in solid[a:b]) >= words:
+                    if run in seen:
+                        out |= {k for k, _, _ in solid[a:b]}
+                    seen.add(run)
+        gone.append(out)
+    return gone
+
+
 def test_line_dedup(spark, empty):
     rng = random.Random(2)
-    pool = [words(rng, 4) for _ in range(12)]
-    texts = [None, "", "\n\n", *["\n".join([*rng.choices(pool, k=3), words(rng, 5), "", *rng.choices(pool, k=4)]) for _ in range(40)]]
+    pool = [words(rng, rng.choice([1, 1, 2, 3, 4, 6])) for _ in range(14)]
+    texts = [None, "", "\n\n", " \n a b c d e\n", *["\n".join([*rng.choices(pool, k=rng.randint(1, 4)), words(rng, 2), "", *rng.choices(pool, k=rng.randint(0, 5))]) for _ in range(60)], "{\n}\n" * 40]
     got = {r.doc_id: r for r in lines.line_dedup(docs(spark, texts)).collect()}
-    seen, runs = set(), set()
-    for i, t in enumerate(texts):
-        split, gone = (t or "").split("\n"), set(got[i].removed)
-        assert got[i].clean == "\n".join(x for k, x in enumerate(split) if k not in gone)
-        solid = [(k, x) for k, x in enumerate(split) if x.strip()]
-        for j, (k, x) in enumerate(solid):
-            assert k not in gone or x in seen
-            if j >= 2:
-                run = tuple(y for _, y in solid[j - 2 : j + 1])
-                assert run not in runs or solid[j - 1][0] in gone
-                runs.add(run)
-            seen.add(x)
-    assert lines.line_dedup(empty).count() == 0 and lines.digest(lines.line_dedup(docs(spark, texts))).count() == len(texts) + 1
+    want = without_repeats([NO_ID, *(t or "" for t in texts)], 5)
+    for i, gone in zip([None, *range(len(texts))], want):
+        t = text_of(texts, i)
+        assert set(got[i].removed) == gone and got[i].n_lines == t.count("\n") + 1, i
+        assert got[i].clean == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    assert sum(map(len, want)) > 100
+    assert lines.line_dedup(empty).count() == 0 and lines.digest(lines.line_dedup(docs(spark, texts))).count() == len(texts) + 2
+
+
+def test_runs_that_stood_apart_before(spark):
+    """A run that stands whole in one document goes whole, though its lines stood elsewhere before."""
+    rng = random.Random(21)
+    texts, need = [], 0
+    for k in range(60):
+        run = [words(rng, 3) for _ in range(4 + 2 * (k % 2))]
+        texts += ["\n".join([words(rng, 6), *run[i : i + 2], words(rng, 6)]) for i in range(0, len(run), 2)] + ["\n".join([words(rng, 7), *run, words(rng, 7)])] * 1
+        texts.append("\n".join([words(rng, 5), *run]))
+        need += len(run)
+    got = {r.doc_id: r.removed for r in lines.line_dedup(docs(spark, texts)).collect()}
+    at = 0
+    for k in range(60):
+        n = 4 + 2 * (k % 2)
+        at += n // 2 + 2
+        assert got[at - 1] == list(range(1, n + 1))
+
+
+def test_long_texts(spark):
+    """Work grows with the length, not with its square, with which these would take hours."""
+    rng = random.Random(22)
+    run, many = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300_000)), " ".join(f"token={k:09}x a{k}@b.de" for k in range(30_000))
+    df = spark.createDataFrame([(0, run), (1, many)], "doc_id bigint, text string").repartition(2, "doc_id")
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan_secrets(df)).collect()}
+    kind, start, end = got[0].spans.split(":")
+    assert kind == "entropy" and int(start) < 100 and int(end) > 299_900 and got[1].n_assign == 30_000 and got[1].n_entropy == 0
+    found = {r.doc_id: r for r in pii.digest(pii.find_pii(df)).collect()}
+    assert found[1].n_email == 30_000 and found[0].n_email == 0
+    text = "\n".join(words(rng, rng.randint(1, 7)) for _ in range(40_000))
+    got = {r.doc_id: r for r in lines.digest(lines.line_dedup(spark.createDataFrame([(0, text), (1, "x\n" + text)], "doc_id bigint, text string"))).collect()}
+    assert got[0].n_removed < 1000 and got[1].n_removed >= 39_990
+
+
+def test_words_are_no_secrets(spark):
+    texts = ["getHttpServletRequestAttributeName", "configuration-and-installation-guide", "qKxRmPwTzBnYcDfGhJsLvQ", "kq" * 3 + "zxwvbnmtrplkjhgfdscq", "src/main/java/org/apache/Example1"]
+    got = {r.doc_id: r.n_entropy for r in secrets.digest(secrets.scan_secrets(docs(spark, texts))).collect()}
+    assert [got[i] for i in range(5)] == [0, 0, 1, 1, 0]
 
 
 def test_passages(spark, empty):
@@ -221,8 +316,8 @@ def test_jaccard(spark, empty, small):
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
     want = brute_components(sets, range(len(texts)))
     got = jaccard.jaccard_components(docs(spark, texts), small=small).collect()
-    assert len(got) == len(texts) + 1
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in want}
+    assert len(got) == len(texts) + 2
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in want} | {None: (2, None)}
     if small == 2:
         assert jaccard.jaccard_components(empty).count() == 0
 
@@ -258,12 +353,12 @@ def test_bpe(spark, empty, tokenizer_files):
     tok = bpe.tokenizer(path)
     texts = [None, "", "plain text", "a" * 9000, "the" * 4000 + " <|endoftext|> é" + " " * 5000 + "x", "ＡＢ 漢字   \x85", "0123456789" * 900, "=-" * 5000, "'s 're é\n\n  b"]
     got = bpe.bpe(docs(spark, texts), path, tokenizer_files.PATTERN, leaf=64).collect()
-    assert len(got) == len(texts) + 1 and bpe.bpe(empty, path, tokenizer_files.PATTERN).count() == 0
+    assert len(got) == len(texts) + 2 and bpe.bpe(empty, path, tokenizer_files.PATTERN).count() == 0
     for r in got:
-        want = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        want = tok.encode(text_of(texts, r.doc_id), add_special_tokens=False).ids
         assert (r.ids, r.decoded) == (want, tok.decode(want, skip_special_tokens=False))
     for r in bpe.bpe(docs(spark, texts), path, "", digests=True).collect():
-        want = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        want = tok.encode(text_of(texts, r.doc_id), add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
 
 
@@ -294,7 +389,7 @@ def test_quality(spark, empty):
         marks.append((i, int(good), 0))
     df, labels = docs(spark, texts), spark.createDataFrame([*marks, (None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in quality.quality_report(df, labels).collect()}
-    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for i, r in got.items())
+    assert all(r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for i, r in got.items())
     held = [(got[i].predicted, y) for i, y, _ in marks if got[i].held_out]
     assert sum(p == y for p, y in held) / len(held) > 0.95
     # held-out labels change nothing
@@ -309,8 +404,42 @@ def test_mixing_targets():
     t = mixing.targets([1000, 10, 500, 0], [5, 2, 1, 5], 1.5, 2)
     assert abs(sum(t) - 2265) < 1e-6 and t[1] == 20 and t[3] == 0 and all(x <= 2 * s for x, s in zip(t, [1000, 10, 500, 0]))
     assert mixing.targets([], [], 1.5, 2) == []
-    drawn = mixing.draw_shards([1000, 7, 0], 5, 1)
-    assert [sum(c) for c in zip(*drawn)] == [1000, 7, 0]
+    # by hand: 150 of 100 words; a takes 5/8, above twice its 20 words; the rest, 110, is b's by 2 and c's by 1
+    assert mixing.targets([20, 60, 20], [5, 2, 1], 1.5, 2) == pytest.approx([40, 220 / 3, 110 / 3])
+
+
+def test_slots():
+    assert [mixing.slots_for(s, t, 64, 2) for s, t in ((10, 20, ), (70, 140), (70, 70), (0, 0), (640, 100), (640, 1), (6400, 9600))] == [2, 4, 2, 0, 2, 1, 150]
+
+
+def test_shard_counts_are_multinomial():
+    """Sums are exact, any shard can be worked out alone, and means and variances are those of a multinomial draw."""
+    slots, shards = [40_000, 7, 0, 1 << 40], 37
+    known: dict = {}
+    all_ = [mixing.shard_counts(slots, shards, k, 3, known) for k in range(shards)]
+    assert (sum(c for _, c in all_) == slots).all()
+    assert all((f == sum((c for _, c in all_[:k]), np.zeros(4, np.int64))).all() for k, (f, _) in enumerate(all_))
+    assert all((mixing.shard_counts(slots, shards, k, 3, {})[1] == all_[k][1]).all() for k in (0, 17, 36))
+    drawn = np.array([[mixing.shard_counts([400], 8, k, seed, {})[1][0] for k in range(8)] for seed in range(400)])
+    assert abs(drawn.mean() - 50) < 1e-9 and abs(drawn.var(0).mean() - 400 / 8 * 7 / 8) < 3
+    both = np.corrcoef(drawn[:, 0], drawn[:, 5])[0, 1]
+    assert abs(both + 1 / 7) < 0.12
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
+def test_scattered_is_a_permutation(n):
+    got = mixing.scattered(np.arange(n), n, 5)
+    assert sorted(got.tolist()) == list(range(n))
+    if n >= 1000:
+        assert (got != mixing.scattered(np.arange(n), n, 6)).mean() > 0.9 and abs(np.corrcoef(got, np.arange(n))[0, 1]) < 0.1
+
+
+def test_scattered_beyond_32_bits():
+    n = (1 << 41) + 12345
+    i = np.r_[np.arange(20_000), np.arange(n - 20_000, n), (np.arange(20_000) * 109_951_163) % n]
+    i = np.unique(i)
+    got = mixing.scattered(i, n, 9)
+    assert len(np.unique(got)) == len(i) and got.min() >= 0 and got.max() < n and got.max() > n // 2
 
 
 def test_mixing(spark, empty):
@@ -318,25 +447,34 @@ def test_mixing(spark, empty):
     texts = [None, "", *[words(rng, rng.choice([1, 30, 400])) for _ in range(200)], words(rng, 9000)]
     sources = [rng.choice(["b", "é", "a", None, "a", "a"]) for _ in texts]
     df = docs(spark, texts, sources)
-    got = mixing.mixed_report(df, block=16).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixed_report(df, block=16).collect()))
+    source = lambda i: sources[i or 0]
+    got = mixing.mixed_report(df, block=16, shard_slots=64).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_report(df, block=16, shard_slots=64).collect())) and len(got) == len(texts) + 2
     size, taken, target = collections.Counter(), collections.Counter(), {}
     for r in got:
-        s = sources[r.doc_id]
-        assert r.size == len(WORD.findall(texts[r.doc_id] or "")) and r.taken <= 2 * r.size
+        s = source(r.doc_id)
+        assert r.size == len(WORD.findall(text_of(texts, r.doc_id))) and r.taken <= 2 * r.size and (r.taken > 0) == bool(r.shards)
         size[s] += r.size
         taken[s] += r.taken
         target[s] = r.target
+    assert len({x for r in got for x in (r.shards or "").split(",")}) > 10
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    want = mixing.targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5, 2)
-    for s, t in zip(order, want):
-        assert target[s] == pytest.approx(t) and abs(taken[s] - t) <= 0.02 * t + 64
-    mixed = mixing.mixed_documents(df, block=16)
+    left, open_, want = 1.5 * sum(size.values()), dict(zip(order, (5, 2, 1, 5))), {}
+    while over := {s for s, w in open_.items() if left * w / sum(open_.values()) > 2 * size[s]}:
+        for s in over:
+            want[s] = 2 * size[s]
+            del open_[s]
+        left = 1.5 * sum(size.values()) - sum(want.values())
+    want |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
+    for s in order:
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 16
+    mixed = mixing.mixed_documents(df, block=16, shard_slots=64)
     assert mixed.columns == df.columns
     per = collections.Counter()
     for r in mixed.collect():
         per[r.doc_id] += len(WORD.findall(r.text))
-        assert set(WORD.findall(r.text)) <= set(WORD.findall(texts[r.doc_id])) and r.n_chars == len(r.text)
+        have = collections.Counter(WORD.findall(text_of(texts, r.doc_id)))
+        assert not collections.Counter(WORD.findall(r.text)) - have and r.n_chars == len(r.text) and r._posetta_score == 0.5
     both = collections.Counter()
     for r in got:
         both[r.doc_id] += r.taken
@@ -344,6 +482,12 @@ def test_mixing(spark, empty):
     assert mixing.mixed_report(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_a_tiny_source_stays_in_the_mix(spark):
+    rows = [(i, words(random.Random(i), 300), "big") for i in range(20)] + [(100, "a b c", "tiny"), (101, "d e", "wee"), (None, "f", None)]
+    got = {r.doc_id: r for r in mixing.mixed_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert (got[100].taken, got[101].taken, got[None].taken) == (6, 4, 2)
+
+
 @pytest.mark.parametrize("part_rows", [8, 2000])
 def test_vectors(spark, part_rows):
     rng = np.random.default_rng(10)
@@ -367,7 +511,7 @@ def test_vectors(spark, part_rows):
 
 
 def test_spans_count_code_points(spark):
-    df = spark.createDataFrame([("é𝄞ab xab", ), ("",), ("none",)], "t string").select(spans.matches(F.col("t"), "ab", 0).alias("m"))
+    df = spark.createDataFrame([("é𝄞ab xab", ), ("",), ("none",)], "t string").select(spans.matches("t", "ab", 0).alias("m"))
     assert [[(s.start, s.end) for s in r.m] for r in df.collect()] == [[(2, 4), (6, 8)], [], []]
 
 
