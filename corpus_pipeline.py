@@ -1,48 +1,58 @@
-"""The corpus pipeline: quality, exact copies, near copies, source mix, tokens."""
+"""The corpus pipeline: quality, exact copies, near copies, source mix, tokens.
+
+Every stage reads whole texts, keeps the columns of documents (all but the last), gives no rows for an empty
+table, and runs whatever the number, order or repetition of rows."""
 
 from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posetta.llm import bpe, exact_dedup, jaccard, mixing, quality
+from posetta.llm.words import fresh
 from posetta.plans.session import scratch_dir, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking scores at least 0.5; the others go."""
+    """Documents that the ranking scores at least 0.5; the others go. Null texts score as empty ones do; equal
+    texts score alike, whatever their ids, so repeated rows stay or go together; null ids train nothing."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts (A-Z lower-cased): the one with the largest doc_id."""
-    key, sha = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(exact_dedup.fold_case(F.col("text")), 256)
-    kept = exact_dedup.exact_dedup(docs, keep="max").where("kept").select(key.alias("_posetta_id"), F.col("text_sha256").alias("_posetta_sha"))
-    rows = docs.withColumn("_posetta_id", key).withColumn("_posetta_sha", sha).join(kept, ["_posetta_id", "_posetta_sha"], "left_semi")
-    # rows that are the same in id and text are one document
-    same = Window.partitionBy("_posetta_id", "_posetta_sha").orderBy("text")
-    return rows.withColumn("_posetta_nth", F.row_number().over(same)).where("_posetta_nth = 1").select(*docs.columns)
+    """One row of each group of equal texts (A-Z lower-cased): the one with the largest doc_id, null ids last. Null
+    texts are equal to empty ones. Of rows that are the same in id and folded text the first by text stays."""
+    names = [fresh(docs, x) for x in ("key", "sha", "nth")]
+    key, sha, nth = names
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    kept = exact_dedup.exact_dedup(docs, keep="max").where("kept").select(id_text.alias(key), F.col("text_sha256").alias(sha))
+    rows = docs.withColumns({key: id_text, sha: F.sha2(exact_dedup.fold_case(F.col("text")), 256)}).join(kept.hint("merge"), [key, sha], "left_semi")
+    same = Window.partitionBy(key, sha).orderBy("text")
+    return rows.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.8: the one with the smallest doc_id.
-    Documents without words, or without an id, all stay."""
+    Documents without words, or without an id, all stay; so do all rows of an id that stays."""
     kept = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     return known.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document in each pass; no document more than twice."""
+    """What the mix takes of each document in each pass; no document more than twice. Null and empty texts take
+    nothing and go; a null source is one like the others; repeated rows are rows of their own."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token ids, with a check of what they decode to."""
-    return bpe.bpe(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, digests=True)
+    """The documents as token ids, with their number, a digest of them and one of what they decode to. A null text
+    counts as empty and has no ids."""
+    import public_tokenizers
+
+    return bpe.bpe(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, digests=True, ids_too=True)
 
 
 STAGES = [("quality", good_quality), ("exact_dedup", no_copies), ("near_dedup", no_near_copies), ("mixing", mixed), ("bpe", tokens)]
