@@ -373,10 +373,13 @@ def test_both_engines_split_shared_characters_alike(tokenizer_files):
 def test_tree_concatenation(tokenizer_files):
     path, rng = tokenizer_files.path("byte_bpe_50k.json"), random.Random(7)
     tok = bpe.tokenizer(path)
-    for _ in range(150):
-        s = "".join(rng.choice(rng.choice(["ab", "aeiounth", "0123456789", "=-", "é"])) for _ in range(rng.randint(1, 500)))
-        rows = [(k, n, ids if x is None else [t.id for t in tok.model.tokenize(x)]) for k, n, x, ids in bpe.pieces(s, path, rng.choice([4, 16, 50]))]
-        assert bpe.assembled(rows, path) == tok.encode(s, add_special_tokens=False).ids
+    alphabets = ["ab", "aeiounth", "0123456789", "=-", "é漢", "  \n\t", " a", "'stll re'", "\u3000 \x85x", "a b1  c!"]
+    for _ in range(600):
+        s = "".join(rng.choice(rng.choice(alphabets)) * rng.choice([1, 1, 3]) for _ in range(rng.randint(1, 300)))
+        if rng.random() < 0.2:
+            s = s[:40] + "<|endoftext|>" + s[40:]
+        rows = [(i, n, None if x is None else bpe.encoded(x, path)) for i, n, x in bpe.pieces(s, path, rng.choice([1, 2, 5, 16, 50]))]
+        assert bpe.assembled(rows, path) == tok.encode(s, add_special_tokens=False).ids, s
 
 
 def test_quality(spark, empty):
@@ -388,16 +391,60 @@ def test_quality(spark, empty):
         texts.append(text)
         marks.append((i, int(good), 0))
     df, labels = docs(spark, texts), spark.createDataFrame([*marks, (None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.quality_report(df, labels).collect()}
+    got = {r.doc_id: r for r in quality.quality_report(df, labels, pairs=2000).collect()}
     assert all(r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for i, r in got.items())
     held = [(got[i].predicted, y) for i, y, _ in marks if got[i].held_out]
     assert sum(p == y for p, y in held) / len(held) > 0.95
     # held-out labels change nothing
     flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
-    assert {r.doc_id: r.score for r in quality.quality_report(df, flipped).collect()} == {i: r.score for i, r in got.items()}
+    assert {r.doc_id: r.score for r in quality.quality_report(df, flipped, pairs=2000).collect()} == {i: r.score for i, r in got.items()}
     assert quality.quality_report(empty, labels).count() == 0
     assert quality.quality_report(df, labels.where("quality = 1")).first().score == 1.0
-    assert set(quality.good_documents(df, labels).columns) == set(df.columns)
+    kept = quality.good_documents(df, labels, pairs=2000)
+    assert kept.columns == df.columns and sorted(map(str, [r.doc_id for r in kept.collect()])) == sorted(str(i) for r in quality.quality_report(df, labels, pairs=2000).where("predicted = 1").collect() for i in [r.doc_id])
+    # a label that contradicts another: the larger counts
+    assert {r.doc_id: r.score for r in quality.quality_report(df, labels.union(labels.withColumn("quality", F.lit(0))), pairs=2000).collect()} == {i: r.score for i, r in got.items()}
+
+
+def test_features_by_brute_force():
+    rng = random.Random(81)
+    texts = [None, "", " \n", "Ab ab, é!", *(words(rng, rng.randint(1, 40)) + rng.choice(["", "\n x", "$$ é"]) for _ in range(20)), "ab", "z" * 5000]
+    x = quality.features(texts)
+    assert x.shape == (len(texts), quality.WIDTH) and (x[0] == 0).all() and (x[2, : quality.WIDTH - quality.GRAMS] == 0).all()
+    first = len(quality.FEATURES) + 9
+    for t, row in zip(texts, x):
+        b = (t or "").encode()
+        grams = collections.Counter((((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1) % (1 << 32)) >> 25 for i in range(len(b) - 2))
+        want = np.array([grams[k] for k in range(quality.GRAMS)], float)
+        assert np.allclose(row[first + quality.WORDS :], np.sqrt(want / max(1, want.sum())))
+        n = collections.Counter(w.translate(FOLD) for w in WORD.findall(t or ""))
+        assert np.isclose((row[first : first + quality.WORDS] ** 2).sum(), 1 if n else 0)
+    assert np.array_equal(quality.features(["one TWO", "x"])[0], quality.features(["one TWO"])[0])
+
+
+def test_ranking_by_brute_force():
+    """The weights are where the loss over the drawn pairs, added up pair by pair, is least."""
+    rng = np.random.default_rng(82)
+    x, true = rng.standard_normal((60, 3)), np.array([2.0, -1.0, 0.0])
+    y = (x @ true + rng.standard_normal(60) > 0).astype(int)
+    w = quality.bradley_terry(x, y, 500, 4, decay=0.01)
+    draw = np.random.default_rng(4)
+    good, poor = draw.choice(np.flatnonzero(y == 1), 500), draw.choice(np.flatnonzero(y == 0), 500)
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(x[i] - x[j]) @ w)) for i, j in zip(good, poor)) / 500 + 0.005 * w @ w
+
+    assert all(loss(w) <= loss(w + step) for step in rng.standard_normal((40, 3)) * 0.05)
+    assert w[0] > 0.5 and w[1] < -0.2 and abs(w[2]) < 0.5
+
+
+def test_the_threshold_is_a_quantile_of_all_labelled_rows(spark):
+    rows = [(i, float(i % 100)) for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i % 100 >= 30)) for i, _ in rows] + [(7, 0), (None, 1)], "doc_id bigint, quality int")
+    at, spread = quality.threshold(spark.createDataFrame(rows, "doc_id bigint, s double"), labels, {"flat": None}, "doc_id", "s")
+    used = [(s, i % 100 >= 30) for i, s in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    low = sorted(s for s, _ in used)[sum(not y for _, y in used) - 1]
+    assert abs(at - low) <= 1 and spread == pytest.approx(np.std([s for s, _ in used]), rel=1e-6)
 
 
 def test_mixing_targets():
@@ -542,7 +589,14 @@ def test_pipeline_stages_on_odd_rows(spark):
         df = spark.createDataFrame(rows, schema)
         for k, (name, stage) in enumerate(pipeline.STAGES):
             out = stage(spark, df, sf).collect()
-            assert len(out) <= max(len(rows), 2 * len(rows))
+            assert not rows or name == "bpe" or {r.text for r in out} <= {r[1] for r in rows} | {"some plain words here"}
+            if name == "quality" and rows:
+                alike = {t: sum(r.text == t for r in out) for t in ("Same words in one text.", None)}
+                assert alike["Same words in one text."] in (0, 2)
+            if name == "mixing" and rows:
+                assert all(r.text for r in out) and max(collections.Counter(r.doc_id for r in out).values()) <= 4
+            if name == "bpe" and rows:
+                assert [(r.n_tokens, len(r.ids)) for r in out if r.doc_id == 900001] == [(0, 0)] and len(out) == len(rows)
             if name == "exact_dedup" and rows:
                 assert [r.doc_id for r in out if r.text and r.text.lower().startswith("same")] == [900004] and len(out) == 3
             if name == "near_dedup" and rows:
