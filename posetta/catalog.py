@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posetta.functions import codecs, digests, parsers
+from posetta.functions import codecs, content, digests, parsers, slicing
 from posetta.operators import bits, folds, prefix, setops, signatures, store, wavelet, wavelet_index
 from posetta.operators.components import components
 from posetta.operators.folds import Items
@@ -45,6 +45,11 @@ def items(spark: SparkSession, sf_dir: str) -> Items:
     return Items(events(spark, sf_dir).select("pos", F.col("sym").alias("x")))
 
 
+def unordered(spark: SparkSession, sf_dir: str) -> Items:
+    """The same items for folds that don't ask for their order, by id instead of position."""
+    return Items(table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("x")))
+
+
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.col("event_type").alias("set_id"), "pos")
 
@@ -66,28 +71,30 @@ def asked(spark: SparkSession, sf_dir: str, n: int, step: int, name: str = "i")
 
 @query("fold_sum", V + " select cast(coalesce(sum(sym), 0) as bigint) as total from v")
 def fold_sum(s, d):
-    return items(s, d).fold(total=folds.total())
+    return unordered(s, d).fold(total=folds.total())
 
 
 @query("fold_count", V + " select count(*) as n from v")
 def fold_count(s, d):
-    return items(s, d).fold(n=folds.count())
+    return unordered(s, d).fold(n=folds.count())
 
 
-@query("fold_prod", V + " select cast(list_reduce(list(case when sym % 4 = 0 then 2 when sym % 4 = 1 then -1 else 1 end), lambda a, b: a * b) as bigint) as product from v where pos < 40")
+@query("fold_prod", V + " select cast(product(case when (pos & (pos + 1)) = 0 then 2 else 1 end * case when sym % 2 = 0 then 1 else -1 end) as bigint) as product from v")
 def fold_prod(s, d):
-    x = F.col("x")
-    return folds.product(items(s, d).take(40).map(lambda x: F.when(x % 4 == 0, 2).when(x % 4 == 1, -1).otherwise(1).cast("long")).df)
+    """Two where the position is one less than a power of two, so that the product fits however many items there are."""
+    e, pos = events(s, d), F.col("pos")
+    x = F.when(pos.bitwiseAND(pos + 1) == 0, 2).otherwise(1) * F.when(F.col("sym") % 2 == 0, 1).otherwise(-1)
+    return folds.product(e.select("pos", x.cast("long").alias("x")))
 
 
 @query("fold_all", V + " select coalesce(bool_and(sym >= 0), true) as every, coalesce(bool_and(sym > 50), true) as over from v")
 def fold_all(s, d):
-    return items(s, d).fold(every=folds.every(lambda x: x >= 0), over=folds.every(lambda x: x > 50))
+    return unordered(s, d).fold(every=folds.every(lambda x: x >= 0), over=folds.every(lambda x: x > 50))
 
 
 @query("fold_any", V + " select coalesce(bool_or(sym < 0), false) as minus, coalesce(bool_or(sym = 7), false) as seven from v")
 def fold_any(s, d):
-    return items(s, d).fold(minus=folds.some(lambda x: x < 0), seven=folds.some(lambda x: x == 7))
+    return unordered(s, d).fold(minus=folds.some(lambda x: x < 0), seven=folds.some(lambda x: x == 7))
 
 
 @query("fold_map_filter_take", V + " select cast(coalesce(sum(sym * 3), 0) as bigint) as total, count(*) as n from (select * from v where sym % 2 = 0 order by pos limit 500)")
@@ -115,15 +122,15 @@ def fold_zip_take(s, d):
     return items(s, d).zip(total=(100, folds.total()), n=(250, folds.count()))
 
 
-@query("fold_conj", V + " select event_type, array_to_string(list(cast(sym as varchar) order by pos), ',') as syms from v where pos < 400 group by event_type")
+@query("fold_conj", V + " select sym, event_type, array_to_string(list(cast(cents as varchar) order by pos), ',') as syms from v group by sym, event_type")
 def fold_conj(s, d):
-    e = Items(events(s, d).select("pos", F.col("sym").alias("x"), "event_type")).take(400)
-    return e.fold(["event_type"], syms=folds.collected()).withColumn("syms", F.array_join(F.transform("syms", lambda x: x.cast("string")), ","))
+    e = Items(events(s, d).select("pos", F.col("cents").alias("x"), "sym", "event_type"))
+    return e.fold(["sym", "event_type"], syms=folds.collected()).withColumn("syms", F.array_join(F.transform("syms", lambda x: x.cast("string")), ","))
 
 
-@query("fold_string_concat", V + " select string_agg(cast(sym as varchar), '' order by pos) as text from v where pos < 200")
+@query("fold_string_concat", V + " select sym, string_agg(event_type, '' order by pos) as text from v group by sym")
 def fold_string_concat(s, d):
-    return items(s, d).take(200).fold(text=folds.joined_text())
+    return Items(events(s, d).select("pos", F.col("event_type").alias("x"), "sym")).fold(["sym"], text=folds.joined_text())
 
 
 @query("fold_par_sum", V + " select cast(sum(part) as bigint) as result from (select sum(sym * 3) as part from v group by pos // 97)")
@@ -133,13 +140,25 @@ def fold_par_sum(s, d):
 
 @query("fold_begin", V + " select 100 + cast(sum(sym) as bigint) as total, 5 + count(*) as n from v")
 def fold_begin(s, d):
-    return items(s, d).fold(total=folds.total(100), n=folds.count(5))
+    return unordered(s, d).fold(total=folds.total(100), n=folds.count(5))
 
 
-@query("fold_custom", V + " select event_type, cast(list_reduce(list_prepend(cast(1 as bigint), list(sym order by pos)), lambda a, b: (a * 31 + b) % 1000003) as bigint) as rolling from v where pos < 600 group by event_type")
+@query("fold_custom", V + " select sym, cast(list_reduce(list_prepend(cast(1 as bigint), list(event_id order by pos)), lambda a, b: (a * 31 + b) % 1000003) as bigint) as rolling from v group by sym")
 def fold_custom(s, d):
-    e = Items(events(s, d).select("pos", F.col("sym").alias("x"), "event_type")).take(600)
-    return e.fold(["event_type"], rolling=folds.custom(F.lit(1).cast("long"), lambda a, x: (a * 31 + x) % 1000003))
+    e = Items(events(s, d).select("pos", F.col("event_id").alias("x"), "sym"))
+    return e.fold(["sym"], rolling=folds.custom(F.lit(1).cast("long"), lambda a, x: (a * 31 + x) % 1000003))
+
+
+@query("fold_completing", V + " select cast(sum(sym) * 2 as bigint) as twice, count(*) > 5 as more from v")
+def fold_completing(s, d):
+    return unordered(s, d).fold(twice=folds.total().completing(lambda x: x * 2), more=folds.count().completing(lambda n: n > 5))
+
+
+@query("fold_closure", V + ", c as (select sym, pos, sum(sym) over (partition by sym order by pos) as upto from v) select sym, cast(coalesce(min(case when upto >= 500 then upto end), max(upto)) * 2 as bigint) as result from c group by sym")
+def fold_closure(s, d):
+    """Each user's items are added up until there are 500, then no further one is read; the sum is doubled at the end."""
+    e = events(s, d).select("sym", "pos", F.col("sym").alias("x"))
+    return folds.closure(e, ["sym"], lambda a, x: (a + int(x), a + int(x) >= 500), 0, "bigint", lambda a: a * 2)
 
 
 # slices of the event sequence
@@ -225,6 +244,37 @@ def wmi_quantile(s, d):
     return wavelet_index.quantile(wavelet_index.build(events(s, d)), q).select("qid", "lo", "hi", "k", "sym")
 
 
+def views_asked(s):
+    """Many views at once: the whole, empty ones, ones beyond the end, with and without bounds of symbols."""
+    i, null = F.col("id"), F.lit(None).cast("long")
+    return s.range(60).select(i.alias("qid"), (i * 7).alias("lo"), (i * 7 + i * 17).alias("hi"), F.when(i % 3 == 0, i % 40).otherwise(null).alias("low"), F.when(i % 4 == 0, i % 40 + 60).otherwise(null).alias("high"), (i % 9 + 1).alias("k"))
+
+
+VIEWS_SQL = V + ", q as (select range as qid, range * 7 as lo, range * 24 as hi, case when range % 3 = 0 then range % 40 end as low, case when range % 4 = 0 then range % 40 + 60 end as high, range % 9 + 1 as k from range(60)), h as (select qid, k, sym, count(*) as cnt from q join v on v.pos >= q.lo and v.pos < q.hi and v.sym >= coalesce(low, 0) and (high is null or v.sym < high) group by all) select qid, sym, cnt from h qualify row_number() over (partition by qid order by {}) <= k"
+
+
+@query("wmi_topk", VIEWS_SQL.format("cnt desc, sym desc"))
+def wmi_topk(s, d):
+    return wavelet_index.topk(wavelet_index.build(events(s, d)), views_asked(s))
+
+
+@query("wmi_mink", VIEWS_SQL.format("sym"))
+def wmi_mink(s, d):
+    return wavelet_index.mink(wavelet_index.build(events(s, d)), views_asked(s))
+
+
+@query("wmi_maxk", VIEWS_SQL.format("sym desc"))
+def wmi_maxk(s, d):
+    return wavelet_index.maxk(wavelet_index.build(events(s, d)), views_asked(s))
+
+
+@query("wmi_select", V + ", q as (select range as qid, range * 3 as lo, range * 3 + range * 40 as hi, (range * 7) % 140 as sym, range % 5 as n from range(90)), o as (select q.qid, v.pos - q.lo as pos, row_number() over (partition by q.qid order by v.pos) - 1 as n from q join v on v.sym = q.sym and v.pos >= q.lo and v.pos < q.hi) select q.qid, q.lo, q.hi, q.sym, q.n, o.pos from q left join o using (qid, n)")
+def wmi_select(s, d):
+    i = F.col("id")
+    q = s.range(90).select(i.alias("qid"), (i * 3).alias("lo"), (i * 43).alias("hi"), (i * 7 % 140).alias("sym"), (i % 5).alias("n"))
+    return wavelet_index.select(wavelet_index.build(events(s, d)), q).select("qid", "lo", "hi", "sym", "n", "pos")
+
+
 # bit sequences
 
 
@@ -265,6 +315,41 @@ def bits_select_from(s, d):
     return bits.select_from(bits.directory(bits.blocks(sets(s, d))), q)
 
 
+@query("bits_rank_bit", B + ", q as (select set_id, range % 2 = 0 as bit, range * 3 as lo, range * 19 as hi from sizes, range(60)), r as (select q.set_id, q.bit, q.lo, q.hi, count(b.pos) as r1 from q left join b on b.set_id = q.set_id and b.pos >= q.lo and b.pos < q.hi group by all) select set_id, bit, lo, hi, case when bit then r1 else hi - lo - r1 end as rank from r")
+def bits_rank_bit(s, d):
+    i = F.floor(F.col("lo") / 3)
+    q = asked(s, d, 60, 3, "lo").withColumn("hi", i * 19).withColumn("bit", i % 2 == 0)
+    return bits.rank(bits.directory(bits.blocks(sets(s, d))), q).select("set_id", "bit", "lo", "hi", "rank")
+
+
+@query("bits_select_bit", B + ", z as (select s.set_id, v.pos, v.event_type = s.set_id as bit from sizes s, v), o as (select set_id, pos, bit, row_number() over (partition by set_id, bit order by pos) - 1 as n from z), q as (select set_id, range % 3 = 0 as bit, range * 23 as n from sizes, range(80)) select q.set_id, q.bit, q.n, o.pos as \"select\" from q left join o using (set_id, bit, n)")
+def bits_select_bit(s, d):
+    q = asked(s, d, 80, 23, "n").withColumn("bit", F.floor(F.col("n") / 23) % 3 == 0)
+    return bits.select(bits.blocks(sets(s, d)), sizes(s, d), q).select("set_id", "bit", "n", "select")
+
+
+@query("bits_select0_from", B + ", z as (select s.set_id, v.pos from sizes s, v where v.event_type <> s.set_id), o as (select set_id, pos, row_number() over (partition by set_id order by pos) - 1 as n from z), q as (select set_id, range * 11 as i, range % 7 as n from sizes, range(80)), r as (select q.set_id, q.i, q.n, count(z.pos) as r from q left join z on z.set_id = q.set_id and z.pos < q.i group by all) select r.set_id, r.i, r.n, o.pos - r.i as select0_from from r left join o on o.set_id = r.set_id and o.n = r.r + r.n")
+def bits_select0_from(s, d):
+    q = asked(s, d, 80, 11).withColumn("n", F.floor(F.col("i") / 11) % 7)
+    return bits.select0_from(bits.blocks(sets(s, d)), sizes(s, d), q)
+
+
+@query("bits_push_pop", B + ", c as (select set_id, size + range as pos from sizes, range(9) where range % 2 = 0) select set_id, pos from (select * from b union all select * from c) where pos < (select max(size) from sizes) + 4")
+def bits_push_pop(s, d):
+    """Nine bits, every other one set, are put behind each set, and the last five taken off again."""
+    z = sizes(s, d)
+    more = asked(s, d, 9, 1, "k").withColumn("bit", F.col("k") % 2 == 0)
+    return bits.popped(*bits.pushed(sets(s, d), z, more), 5)[0]
+
+
+@query("bits_of_words", "select distinct o_orderpriority as set_id, (o_orderkey % 40000) * 64 + i as pos from orders, range(13) t(i) where (o_orderkey >> cast(i as int)) & 1 = 1 and o_orderkey = (select max(p.o_orderkey) from orders p where p.o_orderpriority = orders.o_orderpriority and p.o_orderkey % 40000 = orders.o_orderkey % 40000)")
+def bits_of_words(s, d):
+    """The lowest 13 bits of order keys as words, the largest key of those that would be the same word."""
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    words = o.groupBy(F.col("o_orderpriority").alias("set_id"), (k % 40000).alias("w")).agg(F.max(k).alias("k"))
+    return bits.of_words(words.select("set_id", "w", F.col("k").bitwiseAND(F.lit((1 << 13) - 1)).alias("word")))
+
+
 @query("bits_word", B + ", q as (select set_id, range * 13 as i, range % 17 as len from sizes, range(60)) select q.set_id, q.i, q.len, cast(coalesce(sum(cast(1 as bigint) << cast(b.pos - q.i as int)), 0) as bigint) as word from q left join b on b.set_id = q.set_id and b.pos >= q.i and b.pos < q.i + q.len group by all")
 def bits_word(s, d):
     return bits.words_at(sets(s, d), asked(s, d, 60, 13).withColumn("len", F.floor(F.col("i") / 13) % 17))
@@ -306,7 +391,13 @@ def bits_lsb_msb(s, d):
 @query("bits_chunks", "select c_custkey, unnest(range(c_custkey // 1000, (c_custkey + 2500) // 1000 + 1)) as chunk from customer")
 def bits_chunks(s, d):
     k = F.col("c_custkey")
-    return table(s, d, "customer").select(k, F.explode(F.sequence(F.floor(k / 1000), F.floor((k + 2500) / 1000))).alias("chunk"))
+    return table(s, d, "customer").select(k, F.explode(bits.chunks_of(k, k + 2501, 1000)).alias("chunk"))
+
+
+@query("bits_sliced", B + " select set_id, pos from b")
+def bits_sliced(s, d):
+    """There and back through the sliced form."""
+    return slicing.unsliced(slicing.sliced(bits.blocks(sets(s, d))))
 
 
 # set algebra: parts by return flag, users by event type
@@ -344,11 +435,18 @@ def user_sets(s, d):
 query("set_fold_and", USERS + " select pos from b group by pos having count(*) = (select count(distinct set_id) from b)")(lambda s, d: setops.folded(user_sets(s, d), "and"))
 query("set_fold_or", USERS + " select distinct pos from b")(lambda s, d: setops.folded(user_sets(s, d), "or"))
 query("set_fold_xor", USERS + " select pos from b group by pos having count(*) % 2 = 1")(lambda s, d: setops.folded(user_sets(s, d), "xor"))
-query("set_fold_and_not", "with b as (select distinct l_returnflag as set_id, l_partkey as pos from lineitem where l_quantity < 3) select pos from b group by pos having count(*) = 1 and max(set_id) = 'N'")(
-    lambda s, d: setops.folded(table(s, d, "lineitem").where("l_quantity < 3").select(F.col("l_returnflag").alias("set_id"), F.col("l_partkey").alias("pos")), "and_not", "N")
+query("set_fold_and_not", "with b as (select distinct l_returnflag as set_id, l_orderkey as pos from lineitem) select pos from b group by pos having count(*) = 1 and max(set_id) = 'N'")(
+    lambda s, d: setops.folded(table(s, d, "lineitem").select(F.col("l_returnflag").alias("set_id"), F.col("l_orderkey").alias("pos")), "and_not", "N")
 )
 
 
+@query("set_chain", PARTS + ", c as (select distinct l_suppkey as pos from lineitem) (select pos from a except select pos from b) intersect select pos from c")
+def set_chain(s, d):
+    """Two operators one after the other: parts of the first set and not the second that are suppliers' numbers too."""
+    c = table(s, d, "lineitem").select(F.col("l_suppkey").alias("pos"))
+    return setops.intersection(setops.difference(*two_sets(s, d)), c).distinct()
+
+
 @query("set_compare", PARTS + ", n as (select (select count(*) from a) as ca, (select count(*) from b) as cb, (select count(*) from (select pos from a intersect select pos from b)) as x) select ca as count_a, cb as count_b, x as count_and, ca + cb - x as count_or, ca = x and cb = x as equal, x = 0 as disjoint, ca = x as subset, cb = x as superset, x / (ca + cb - x) as jaccard, x / sqrt(ca * cb) as cosine from n")
 def set_compare(s, d):
     return setops.compared(*two_sets(s, d))
@@ -405,6 +503,24 @@ def prefix_complement(s, d):
     return prefix.prefix(prefix.complement(order_values(s, d), 1000000)).select("pos", "cum")
 
 
+@query("prefix_complement_bound", O.replace("cast(round(o_totalprice) as bigint) as x", "cast(1000000 - round(o_totalprice) as bigint) as x") + ", q as (select range * 7000000 as w from range(120)) select q.w, case when q.w <= 0 then 0 else coalesce((select min(pos) + 1 from p where cum >= q.w), (select count(*) + 1 from p)) end as lower_bound, case when q.w <= 0 then 0 else (select min(pos) from p where cum >= q.w) end as search from q")
+def prefix_complement_bound(s, d):
+    """Where what is missing to a million for each item has come to w."""
+    sums = prefix.prefix(prefix.complement(order_values(s, d), 1000000))
+    return prefix.lower_bound(sums, s.range(120).select((F.col("id") * 7000000).alias("w")))
+
+
+@query("prefix_push_pop", O + ", y as (select pos, x from x union all select (select count(*) from x) + range, range * 10 from range(8)) select pos, cast(x as bigint) as x from y where pos < (select count(*) from x) + 5")
+def prefix_push_pop(s, d):
+    more = s.range(8).select(F.col("id").alias("n"), (F.col("id") * 10).alias("x"))
+    return prefix.popped(prefix.pushed(order_values(s, d), more), 3)[0]
+
+
+@query("prefix_fixed", "select range as pos, cast(coalesce(x, 0) as bigint) as x from range(2000) left join (select s_suppkey as pos, cast(round(s_acctbal) as bigint) as x from supplier) using (pos) union all select s_suppkey, cast(round(s_acctbal) as bigint) from supplier where s_suppkey >= 2000".replace("select range as pos", "select pos").replace("from range(2000)", "from (select range as pos from range(2000))"))
+def prefix_fixed(s, d):
+    return prefix.fixed(table(s, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.round("s_acctbal").cast("long").alias("x")), 2000)
+
+
 @query("prefix_set", O + " select pos, case when pos % 50 = 0 and pos < 1000 then 1 else x end as x from x")
 def prefix_set(s, d):
     return prefix.assigned(order_values(s, d), s.range(20).select((F.col("id") * 50).alias("pos"), F.lit(1).cast("long").alias("x")))
@@ -425,6 +541,12 @@ def sign_candidates(s, d):
     return signatures.candidates(signatures.signed(o, "o_orderkey", ["o_custkey"]), [F.lit(77).cast("long")])
 
 
+@query("sign_dump", "select o_orderkey as row, 128 as bits from orders")
+def sign_dump(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey")
+    return signatures.dumped(signatures.signed(o, "o_orderkey", ["o_custkey"]), 128).select("row", F.length("dump").alias("bits"))
+
+
 @query("sign_optimal", "select n, fp, cast(ceil(-n * ln(fp) / (ln(2.0::double) * ln(2.0::double))) as bigint) as bits, cast(ceil(ln(2.0::double) * (-n * ln(fp) / (ln(2.0::double) * ln(2.0::double))) / n) as bigint) as hashes from (values (100, 0.05::double), (256, 0.06::double), (1000, 0.01::double)) t(n, fp)")
 def sign_optimal(s, d):
     rows = [(n, fp, *signatures.optimal(n, fp)) for n, fp in ((100, 0.05), (256, 0.06), (1000, 0.01))]
@@ -478,15 +600,21 @@ def reverse_bits(s, d):
     return table(s, d, "lineitem").select((F.col("l_partkey") % 256).alias("x")).distinct().select("x", codecs.reverse_byte(F.col("x")).alias("reversed"))
 
 
+@query("class_size", "select range as n, cast(ceil(log2(range + 1)) as int) as bits from range(1, 64)")
+def class_size(s, d):
+    """Bits that the class of a block of n bits takes."""
+    return s.createDataFrame([(n, codecs.class_size(n)) for n in range(1, 64)], "n bigint, bits int")
+
+
 # components
 
 
-@query("uf_components", """with recursive e as (select distinct s_suppkey as a, s_nationkey + 1000000 as b from supplier where s_suppkey % 3 <> 0),
+@query("uf_components", """with recursive e as (select distinct s_suppkey as a, s_nationkey + 1000000 as b from supplier),
  both_ways as (select a, b from e union select b, a from e),
  r(node, other) as (select a, a from both_ways union select r.node, w.b from r join both_ways w on w.a = r.other)
  select node, min(other) as component from r group by node""")
 def uf_components(s, d):
-    e = table(s, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("a"), (F.col("s_nationkey") + 1000000).cast("long").alias("b"))
+    e = table(s, d, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_nationkey") + 1000000).cast("long").alias("b"))
     return components(e)
 
 
@@ -540,9 +668,32 @@ def cas_round_trip(s, d):
     return made["addresses"].select(F.col("id").alias("doc_id"), "digest").join(got, "digest").select("doc_id", F.sha2("content", 256).alias("content"))
 
 
-@query("cas_chunks")
+@query("cas_coded", "select doc_id, sha256(encode(text)) as content from documents")
+def cas_coded(s, d):
+    """The same with payloads that are compressed where that pays."""
+    made = store.put(table(s, d, "documents"), "doc_id", "text", sizes=(1024, 4096, 16384), coded=True)
+    got = store.get(made["addresses"], made["manifests"], made["payloads"], coded=True)
+    return made["addresses"].select(F.col("id").alias("doc_id"), "digest").join(got, "digest").select("doc_id", F.sha2("content", 256).alias("content"))
+
+
+@query("cas_chunks", "with t as (select doc_id, text, octet_length(encode(text)) as size from documents) select doc_id, size, true as dense, true as bounded, count(*) over (partition by text) as alike from t")
 def cas_chunks(s, d):
-    return store.chunked(table(s, d, "documents"), "doc_id", "text", (256, 1024, 4096)).drop("payload")
+    """Chunks by content: their sizes add up, their numbers are dense, none but the last is too small and none too large;
+    and contents are cut alike just where they are equal."""
+    least, most = 256, 4096
+    c = store.chunked(table(s, d, "documents"), "doc_id", "text", (least, 1024, most)).drop("payload")
+    each = c.groupBy("id").agg(F.sum("size").alias("size"), (F.max("seq") + 1 == F.count(F.lit(1))).alias("dense"), F.array_sort(F.collect_list(F.struct("seq", "size", "chunk"))).alias("cut"))
+    fine = F.forall("cut", lambda x: (x["size"] <= most) & ((x["size"] >= least) | (x["seq"] == F.size("cut") - 1)))
+    alike = each.groupBy("cut").agg(F.count(F.lit(1)).alias("alike"))
+    return each.join(alike, "cut").select(F.col("id").alias("doc_id"), "size", "dense", fine.alias("bounded"), "alike")
+
+
+@query("content_coded", "select doc_id, sha256(encode(text)) as back, true as smaller from documents")
+def content_coded(s, d):
+    """Bytes as they're stored, at most one longer than they were, and back."""
+    docs = table(s, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    kept = content.encoded(docs.withColumn("n", F.octet_length("data")), "data").withColumn("smaller", F.octet_length("data") <= F.col("n") + 1)
+    return content.decoded(kept, "data").select("doc_id", F.sha2("data", 256).alias("back"), "smaller")
 
 
 @query("cas_pack_index", f"with p as (select distinct {D} as chunk, octet_length(encode(text)) as length from documents) select chunk, cast(0 as bigint) as pack, cast(coalesce(sum(length) over (order by chunk rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\", length from p")
@@ -567,7 +718,11 @@ def tree_resolve(s, d):
     return store.resolved(e, table(s, d, "region").select(key("r", "r_regionkey").alias("root")))
 
 
-@query("function_digest")
+FRAMED = "sha256(unhex(printf('%016x', octet_length(encode({0})))) || encode({0}))"
+COMMAND = FRAMED.format("('{\"v\":{\"program\":\"python3\",\"args\":[\"main.py\",\"' || n_name || '\"],\"env\":[{\"key\":\"KEY\",\"value\":\"' || n_nationkey || '\"}]}}')")
+
+
+@query("function_digest", "with c as (select n_nationkey, " + COMMAND + " as command from nation) select n_nationkey, command, " + FRAMED.format("('{\"v\":{\"kind\":\"action\",\"command\":\"' || command || '\",\"config\":\"' || command || '\"}}')") + " as action from c")
 def function_digest(s, d):
     n = table(s, d, "nation")
     cmd = store.command(F.lit("python3"), F.array(F.lit("main.py"), F.col("n_name")), F.create_map(F.lit("KEY"), F.col("n_nationkey").cast("string")))
@@ -577,23 +732,25 @@ def function_digest(s, d):
 # logs, streams and parsers
 
 
-@query("log_replay", "select cast(p_partkey % 4 as bigint) as segment, p_name as value from part where p_partkey % 4 < 3 union all select cast(3 as bigint), p_name from part where p_partkey % 4 = 3")
+@query("log_replay")
 def log_replay(s, d):
-    """Parts written as four log segments by Spark, then replayed."""
+    """Parts appended to a log of segments of 16 KB, then replayed."""
     base = f"{scratch_dir(s)}/log-{uuid.uuid4().hex}"
-    parts = table(s, d, "part").select((F.col("p_partkey") % 4).cast("long").alias("segment"), "p_partkey", F.col("p_name").cast("binary").alias("v"))
-    framed = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("v").cast("long")), 8, "0")), F.col("v"))
-    files = parts.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("p_partkey", framed.alias("r")))).alias("rs"))
-    files = files.select("segment", F.aggregate("rs", F.lit(segments.MAGIC), lambda a, r: F.concat(a, r["r"])).alias("data"))
-    fs = s.sparkContext._jvm.org.apache.hadoop.fs
-    for r in files.toLocalIterator():  # four files
-        path = fs.Path(f"{base}/{r['segment']:020}.log")
-        out = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).create(path)
-        out.write(bytearray(r["data"]))
-        out.close()
+    segments.append(table(s, d, "part").select("p_partkey", "p_name"), base, "p_name", ["p_partkey"], most_bytes=1 << 14)
     return segments.replay(s, base).select("segment", F.col("value").cast("string").alias("value"))
 
 
+LOG = "with n as (select p_partkey, p_name, octet_length(encode(p_name)) + 4 as n from part), c as (select *, sum(n) over (order by p_partkey) - n as before from n)"
+SQL["log_replay"] = LOG + " select cast(before // 16384 as bigint) as segment, p_name as value from c"
+
+
+@query("log_state", LOG + " select cast(before // 16384 as bigint) as segment, cast(sum(n) + 5 as bigint) as bytes, cast(sum(n) + 5 as bigint) as valid_bytes, count(*) as records, false as torn from c group by 1")
+def log_state(s, d):
+    base = f"{scratch_dir(s)}/log-{uuid.uuid4().hex}"
+    segments.append(table(s, d, "part").select("p_partkey", "p_name"), base, "p_name", ["p_partkey"], most_bytes=1 << 14)
+    return segments.segment_state(s, base)
+
+
 @query("stream_ingest", f"select distinct {D} as chunk from documents")
 def stream_ingest(s, d):
     """Documents as a stream, staged in micro-batches, packed, and read again."""
@@ -615,6 +772,15 @@ def shtok_tokens(s, d):
     return parsers.tokens_table(pages, "page_id", "url").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
+@query("shtok_words", "select page_id, 'run|--id=' || page_id || '|a b|port 80|lit $X|' || url as tokens from pages")
+def shtok_words(s, d):
+    """Escaped newlines and blanks, both kinds of quotes, variables inside and outside of them."""
+    line = F.concat(F.lit("run \\\n--id="), F.col("page_id").cast("string"), F.lit(' a\\ b "port $PORT" \'lit $X\' "'), F.col("url"), F.lit('"\n'))
+    pages = table(s, d, "pages").select("page_id", line.alias("text"))
+    got = parsers.tokens_table(pages, "page_id", "text", {"PORT": "80"})
+    return got.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "tok_no", "token"))).alias("t")).select("page_id", F.array_join("t.token", "|").alias("tokens"))
+
+
 @query("markdown_blocks")
 def markdown_blocks(s, d):
     return parsers.blocks_table(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")

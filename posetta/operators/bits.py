@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posetta.functions.arrays import bound, running_sums
+from posetta.plans.sequence import holding
+
 BLOCK, WORD = 1 << 16, 64
 WORDS = BLOCK // WORD
 
@@ -40,9 +43,9 @@ def positions(blocked: DataFrame) -> DataFrame:
 def directory(blocked: DataFrame) -> DataFrame:
     """The rank index: blocks with their number of ones, the ones of earlier blocks of the set, and the ones
     before each word of the block."""
-    counts = F.transform("words", lambda w: F.bit_count(w))
-    cum = F.aggregate(counts, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("all")), lambda s, c: F.struct((s["n"] + c).alias("n"), F.concat(s["all"], F.array(s["n"])).alias("all")))
-    out = blocked.withColumn("_c", cum).select("set_id", "block", "words", F.col("_c.n").cast("long").alias("ones"), F.col("_c.all").alias("cum"))
+    cum = F.expr(bound("counts", "transform(words, w -> cast(bit_count(w) as bigint))", running_sums("counts"))).cast("array<int>")
+    out = blocked.withColumn("cum", cum)
+    out = out.select("set_id", "block", "words", (F.element_at("cum", -1) + F.bit_count(F.element_at("words", -1))).cast("long").alias("ones"), "cum")
     starts = out.groupBy("set_id", "block").agg(F.sum("ones").alias("n"))
     w = Window.partitionBy("set_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("set_id", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
@@ -131,8 +134,8 @@ def select0(blocked: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFra
     run = w.rowsBetween(Window.unboundedPreceding, -1)
     marks = marks.withColumn("before_gap", F.coalesce(F.sum(F.col("gap") + F.col("ones")).over(run), F.lit(0)))
     spans = marks.withColumn("before", F.col("before_gap") + F.col("gap")).join(zeros.select("set_id", "block", "words", "cum"), ["set_id", "block"], "left")
-    on = (F.col("q.set_id") == F.col("d.set_id")) & (F.col("q.n") >= F.col("d.before_gap")) & (F.col("q.n") < F.col("d.before") + F.col("d.ones"))
-    hit = queries.alias("q").join(spans.alias("d"), on, "left").select("q.*", "d.block", "d.prev", "d.words", "d.cum", "d.before", "d.before_gap")
+    spans = spans.select("set_id", "block", "prev", "words", "cum", "before", "before_gap", (F.col("before") + F.col("ones")).alias("after"))
+    hit = holding(queries, "n", spans, "before_gap", "after", ["set_id"])
     r = F.col("n") - F.col("before")
     word = F.size(F.filter("cum", lambda c: c <= r)) - 1
     inside = F.col("block") * BLOCK + word * WORD + nth_bit(F.get("words", word), r - F.get("cum", word))
@@ -192,3 +195,47 @@ def lsb(x: Column) -> Column:
 def msb(x: Column) -> Column:
     """Highest set bit of a word, 0 for 0."""
     return F.when(x == 0, F.lit(0).cast("long")).when(x < 0, F.lit(-(1 << 63)).cast("long")).otherwise(shifted_one(F.length(F.bin(x)) - 1))
+
+
+def rank(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (set_id, bit, lo, hi) with rank: how many positions of [lo, hi) have that bit."""
+    got = rank_range(index, queries)
+    return got.select(*queries.columns, F.when(F.col("bit"), F.col("rank1")).otherwise(F.col("rank0")).alias("rank"))
+
+
+def select(blocked: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (set_id, bit, n) with the position of the n-th such bit below the set's size, or null."""
+    ones = select1(directory(blocked), queries.where("bit"), "select")
+    zeros = select0(blocked, sizes, queries.where("not bit")).withColumnRenamed("select0", "select")
+    return ones.join(sizes, "set_id", "left").select(*queries.columns, F.when(F.col("select") < F.coalesce("size", F.col("select") + 1), F.col("select")).alias("select")).union(zeros.select(*queries.columns, "select"))
+
+
+def select0_from(blocked: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (set_id, i, n) with select0_from: how far from i the n-th zero at or after i lies."""
+    at = rank0(directory(blocked), queries).withColumn("_n", F.col("n")).withColumn("n", F.col("n") + F.col("rank0"))
+    got = select0(blocked, sizes, at.select(*queries.columns, "_n"))
+    return got.select(*[F.col("_n").alias("n") if c == "n" else F.col(c) for c in queries.columns], (F.col("select0") - F.col("i")).alias("select0_from"))
+
+
+def pushed(rows: DataFrame, sizes: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, sizes) after bits more (set_id, k, bit), k counting from 0, are put behind each set's last position."""
+    n = more.groupBy("set_id").agg((F.max("k") + 1).alias("_n"))
+    new = more.where("bit").join(sizes, "set_id").select("set_id", (F.col("size") + F.col("k")).alias("pos"))
+    return rows.select("set_id", "pos").distinct().union(new), sizes.join(n, "set_id", "left").select("set_id", (F.col("size") + F.coalesce("_n", F.lit(0))).alias("size"))
+
+
+def popped(rows: DataFrame, sizes: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, sizes) without each set's last n positions, and those as (set_id, k, bit), the last one first."""
+    left = sizes.select("set_id", F.greatest(F.col("size") - n, F.lit(0)).alias("size"))
+    gone = sizes.select("set_id", F.explode(F.when(F.col("size") > 0, F.sequence(F.greatest(F.col("size") - n, F.lit(0)), F.col("size") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("i"), "size")
+    return resized(rows, left), left, access(rows, gone).select("set_id", (F.col("size") - 1 - F.col("i")).alias("k"), "bit")
+
+
+def of_words(words: DataFrame) -> DataFrame:
+    """(set_id, pos) of words (set_id, w, word): word w holds the positions from 64 w on."""
+    return positions(words.groupBy("set_id", F.floor(F.col("w") / WORDS).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("w") % WORDS).cast("int").alias("w"), "word"))).alias("m")).select("set_id", "block", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("words")))
+
+
+def chunks_of(lo: Column, hi: Column, width: int = BLOCK) -> Column:
+    """Numbers of the chunks of width positions that [lo, hi) touches, as an array; of an empty range, none."""
+    return F.when(lo < hi, F.sequence(F.floor(lo / width), F.floor((hi - 1) / width))).otherwise(F.array().cast("array<bigint>"))

@@ -124,11 +124,12 @@ def product(df: DataFrame, x: str = "x", out: str = "product") -> DataFrame:
     """One row: the exact product of long items, 1 of none. Equal factors are counted first; over 63 different
     factors beyond -1, 0 and 1 can't have a long product, so at most 64 rows come together, and an overflow
     raises."""
-    signs = df.agg(F.coalesce(F.min(F.abs(x)), F.lit(1)).alias("low"), F.count(F.when(F.col(x) < 0, 1)).alias("minus"))
-    powers = df.where(F.abs(x) > 1).groupBy(F.abs(x).alias("v")).count().limit(64).agg(F.collect_list(F.struct("v", F.least("count", F.lit(64)).alias("c"))).alias("powers"))
-    times = lambda a, s: F.aggregate(F.sequence(F.lit(1).cast("long"), s["c"]), a, lambda b, _: b * s["v"])
-    sign = F.when(F.col("minus") % 2 == 1, -1).otherwise(1).cast("long")
-    return signs.crossJoin(powers).select(F.when(F.col("low") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("powers", sign, times)).alias(out))
+    size = F.abs(F.col(x).cast("decimal(20,0)"))  # that of the least long is no long
+    signs = df.agg(F.coalesce(F.min(size), F.lit(1)).alias("low"), F.count(F.when(F.col(x) < 0, 1)).alias("minus"))
+    powers = df.where(size > 1).groupBy(size.alias("v")).count().limit(64).agg(F.collect_list(F.struct("v", F.least("count", F.lit(64)).alias("c"))).alias("powers"))
+    times = lambda a, s: F.aggregate(F.sequence(F.lit(1).cast("long"), s["c"]), a, lambda b, _: (b * s["v"]).cast("decimal(38,0)"))
+    sign = F.when(F.col("minus") % 2 == 1, -1).otherwise(1).cast("decimal(38,0)")
+    return signs.crossJoin(powers).select(F.when(F.col("low") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("powers", sign, times).cast("long")).alias(out))
 
 
 def closure(df: DataFrame, by: list[str], step: Callable, zero: object, schema: str, finish: Callable | None = None, pos: str = "pos", x: str = "x") -> DataFrame:

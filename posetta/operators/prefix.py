@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posetta.plans.sequence import running
+from posetta.plans.sequence import holding, running
 
 SPAN = 1 << 12
 
@@ -48,11 +48,13 @@ def lower_bound(sums_of: DataFrame, queries: DataFrame) -> DataFrame:
     1, null where w is above the total.
 
     Blocks of SPAN positions, with the sums before and after them, are the directory: a query finds its block
-    among them, then its position in the block by an equality join on it."""
+    among them by a join on buckets of sums, then its position in the block by an equality join on it."""
     rows = sums_of.withColumn("block", F.floor(F.col("pos") / SPAN))
     directory = rows.groupBy("block").agg(F.min("before").alias("low"), F.max("cum").alias("high"), F.max("pos").alias("last"))
     ends = directory.agg(F.coalesce(F.max("last") + 1, F.lit(0)).alias("n"))
-    at = queries.select("w").distinct().join(directory, (F.col("w") > F.col("low")) & (F.col("w") <= F.col("high"))).select("w", "block")
+    # sums up to `high` and above `low` lie in a block: w - 1 is in [low, high)
+    asked = queries.where("w > 0").select("w", (F.col("w") - 1).alias("point")).distinct()
+    at = holding(asked, "point", directory.select("block", "low", "high"), "low", "high").where("block is not null").select("w", "block")
     hit = at.join(rows.select("block", "pos", "before", "cum"), "block").where("before < w and cum >= w").groupBy("w").agg(F.min("pos").alias("p"))
     out = queries.join(hit, "w", "left").join(F.broadcast(ends))
     bound = F.when(F.col("w") <= 0, 0).otherwise(F.coalesce(F.col("p") + 1, F.col("n") + 1))
@@ -62,3 +64,22 @@ def lower_bound(sums_of: DataFrame, queries: DataFrame) -> DataFrame:
 def complement(df: DataFrame, most: int) -> DataFrame:
     """(pos, x) with most - x for x; its prefix sums count what is missing."""
     return df.select("pos", (F.lit(most) - F.col("x")).alias("x"))
+
+
+def pushed(df: DataFrame, items: DataFrame) -> DataFrame:
+    """(pos, x) with items (n, x) after the last position, in the order of n, which counts from 0."""
+    # one row
+    ends = df.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("end"))
+    return df.select("pos", "x").union(items.join(F.broadcast(ends)).select((F.col("n") + F.col("end")).alias("pos"), "x"))
+
+
+def popped(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """((pos, x) without the last n, the last n)."""
+    rows = df.select("pos", "x").join(F.broadcast(df.agg((F.max("pos") + 1).alias("end"))))
+    return rows.where(F.col("pos") < F.col("end") - n).select("pos", "x"), rows.where(F.col("pos") >= F.col("end") - n).select("pos", "x")
+
+
+def fixed(df: DataFrame, size: int) -> DataFrame:
+    """(pos, x) with zeros for the positions below size that aren't there, so that positions are dense."""
+    every = df.sparkSession.range(size).select(F.col("id").alias("pos"))
+    return every.join(df.select("pos", "x"), "pos", "left").select("pos", F.coalesce("x", F.lit(0)).cast("long").alias("x")).union(df.where(F.col("pos") >= size).select("pos", "x"))

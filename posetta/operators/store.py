@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posetta.functions import content
 from posetta.functions.digests import canonical, digest, digest_all, sorted_map
+from posetta.plans.session import stored
 
 COMPRESSED, CHUNKED = 1, 2
 MIN_SIZE, AVG_SIZE, MAX_SIZE = 1 << 16, 1 << 19, 1 << 21
@@ -76,16 +78,17 @@ def addressed(chunks: DataFrame) -> DataFrame:
     return parts.select("id", F.when(many, whole).otherwise(F.get("parts", F.lit(0))["chunk"]).alias("digest"), F.when(many, CHUNKED).otherwise(0).alias("flags"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["size"]).alias("size"), "parts")
 
 
-def put(contents: DataFrame, id_col: str, content_col: str, payloads: DataFrame | None = None, sizes: tuple[int, int, int] = (MIN_SIZE, AVG_SIZE, MAX_SIZE)) -> dict[str, DataFrame]:
+def put(contents: DataFrame, id_col: str, content_col: str, payloads: DataFrame | None = None, sizes: tuple[int, int, int] = (MIN_SIZE, AVG_SIZE, MAX_SIZE), coded: bool = False) -> dict[str, DataFrame]:
     """What storing the contents gives: addresses (id, digest, flags, size), manifests (digest, seq, chunk, size) of
-    contents with more than one chunk, and new payloads (chunk, payload), those not in payloads yet, once each."""
-    chunks = chunked(contents, id_col, content_col, sizes)
+    contents with more than one chunk, and new payloads (chunk, payload), those not in payloads yet, once each; coded
+    ones are compressed where that pays and end with a flag byte. Contents are cut once, and what is cut is written."""
+    chunks = stored(chunked(contents, id_col, content_col, sizes), "chunks")
     every = addressed(chunks.drop("payload"))
     manifests = every.where("flags <> 0").select("digest", F.explode("parts").alias("p")).select("digest", "p.seq", "p.chunk", "p.size").distinct()
     new = chunks.select("chunk", "payload").dropDuplicates(["chunk"])
     if payloads is not None:
         new = new.join(payloads.select("chunk"), "chunk", "left_anti")
-    return {"addresses": every.drop("parts"), "manifests": manifests, "payloads": new}
+    return {"addresses": every.drop("parts"), "manifests": manifests, "payloads": content.encoded(new, "payload") if coded else new}
 
 
 def contains(store: DataFrame, asked: DataFrame, key: str = "digest") -> DataFrame:
@@ -98,21 +101,27 @@ def verified(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("valid", digest(F.col("payload")) == F.col("chunk"))
 
 
-def get(addresses: DataFrame, manifests: DataFrame, payloads: DataFrame, strict: bool = True) -> DataFrame:
+def get(addresses: DataFrame, manifests: DataFrame, payloads: DataFrame, strict: bool = True, coded: bool = False) -> DataFrame:
     """(digest, content) of the digests in addresses: null if absent. Chunk digests and lengths and the manifest's own
-    digest are checked; what fails raises, or, if not strict, has null content."""
-    asked = addresses.select("digest").distinct()
-    held = verified(payloads)
+    digest are checked, and, if addresses say the size, that of the whole (else a read would be short); a manifest
+    mustn't list another. What fails raises, or, if not strict, has null content."""
+    sized = "size" in addresses.columns
+    asked = addresses.groupBy("digest").agg(F.max("size" if sized else F.lit(None).cast("long")).alias("whole"))
+    held = verified(content.decoded(payloads, "payload") if coded else payloads)
+    held = held.join(manifests.select(F.col("digest").alias("chunk")).distinct(), "chunk", "left_anti")
     single = asked.join(held, F.col("digest") == F.col("chunk")).select("digest", F.col("payload").alias("content"), F.col("valid").alias("fine"))
     parts = asked.join(manifests, "digest").join(held, "chunk", "left")
     fine = F.coalesce(F.col("valid") & (F.octet_length("payload") == F.col("size")), F.lit(False))
     listed = parts.withColumn("fine", fine).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk", "payload"))).alias("p"), F.bool_and("fine").alias("fine"))
     own = digest_all(F.transform("p", lambda x: F.unhex(x["chunk"]))) == F.col("digest")
-    content = F.aggregate("p", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["payload"]))
-    many = listed.select("digest", content.alias("content"), (F.col("fine") & own).alias("fine"))
+    # an array of binaries is put together in one copy
+    data = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["payload"])), ""))
+    many = listed.select("digest", data.alias("content"), (F.col("fine") & own).alias("fine"))
     both = single.union(many.join(single.select("digest"), "digest", "left_anti"))
     bad = F.raise_error(F.concat(F.lit("invalid data under "), F.col("digest"))) if strict else F.lit(None)
-    return asked.join(both, "digest", "left").select("digest", F.when(F.col("fine"), F.col("content")).when(F.col("fine").isNotNull(), bad.cast("binary")).alias("content"))
+    short = F.coalesce(F.octet_length("content") == F.col("whole"), F.lit(True))
+    both = asked.join(both, "digest", "left").withColumn("fine", F.col("fine") & short)
+    return both.select("digest", F.when(F.col("fine"), F.col("content")).when(F.col("fine").isNotNull(), bad.cast("binary")).alias("content"))
 
 
 def trees(entries: DataFrame, interns: DataFrame | None = None) -> DataFrame:
@@ -146,8 +155,6 @@ def struct_digest(value: Column) -> Column:
 def resolved(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     """(root, node, depth): all that can be reached from the roots over edges (parent, child), at the least depth; one
     join a level, on the nodes that are new."""
-    from posetta.plans.session import stored
-
     seen = stored(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "reached")
     new = seen
     for depth in range(1, most + 1):

@@ -5,9 +5,14 @@ left out. An invalid view is empty. Symbols are compared as signed longs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posetta.plans.sequence import holding, running
+
+#: Positions in the smallest block of which counts() keeps a histogram; larger ones have twice as many each.
+SPAN = 1 << 12
+
 
 def view(v: DataFrame, lo: int, hi: int) -> DataFrame:
     """Rows of [lo, hi); `at` is the position in the view."""
@@ -46,18 +51,32 @@ def maxk(v: DataFrame, k: int) -> DataFrame:
 def counts(v: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (lo, hi, sym) with lt, eq and gt: rows of the view below, at and above the symbol.
 
-    The histogram of blocks of positions answers whole blocks; only rows of the two blocks at a view's ends are
-    looked at one by one."""
-    span = 1 << 12
+    Histograms of blocks of positions, each level's twice as long as the one's below, answer the middle of a view
+    by two blocks of a level at most; only rows of the two blocks at its ends are looked at one by one. So a
+    query meets histograms in proportion to the logarithm of its view."""
     asked = queries.distinct()
-    first, last = F.floor((F.col("lo") + span - 1) / span), F.floor(F.col("hi") / span)
-    block = F.floor(F.col("pos") / span)
-    hist = v.groupBy(block.alias("block"), F.col("sym").alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    inner = asked.withColumn("block", F.explode(F.when(first < last, F.sequence(first, last - 1)).otherwise(F.array().cast("array<bigint>"))))
-    whole = inner.join(hist, "block").select("lo", "hi", "sym", "s", "c")
+    first, last = F.floor((F.col("lo") + SPAN - 1) / SPAN), F.floor(F.col("hi") / SPAN)
+    block = F.floor(F.col("pos") / SPAN)
+    top = v.agg(F.coalesce(F.max(block), F.lit(0))).first()[0]
+    level = v.groupBy(block.alias("block"), F.col("sym").alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    hist, levels = level.withColumn("level", F.lit(0)), max(1, int(top).bit_length())
+    for k in range(1, levels):
+        level = level.groupBy(F.shiftright("block", 1).alias("block"), "s").agg(F.sum("c").alias("c"))
+        hist = hist.union(level.withColumn("level", F.lit(k)))
+    # from the ends inwards: a block that is no left half, or before one that is no right half, goes at its level
+    step = """(r, k) -> named_struct(
+        'l', if(r.l < r.h and r.l % 2 = 1, r.l + 1, r.l) div 2, 'h', if(if(r.l < r.h and r.l % 2 = 1, r.l + 1, r.l) < r.h and r.h % 2 = 1, r.h - 1, r.h) div 2,
+        'got', concat(r.got, if(r.l < r.h and r.l % 2 = 1, array(named_struct('level', k, 'block', r.l)), cast(array() as array<struct<level:int,block:bigint>>)),
+            if(if(r.l < r.h and r.l % 2 = 1, r.l + 1, r.l) < r.h and r.h % 2 = 1, array(named_struct('level', k, 'block', r.h - 1)), cast(array() as array<struct<level:int,block:bigint>>))))"""
+    start = "named_struct('l', f, 'h', greatest(f, t), 'got', cast(array() as array<struct<level:int,block:bigint>>))"
+    inner = asked.withColumn("f", F.greatest(first, F.lit(0))).withColumn("t", F.least(last, F.lit(top + 1)))
+    inner = inner.withColumn("n", F.explode(F.expr(f"aggregate(sequence(0, {levels}), {start}, {step}, r -> r.got)"))).select("lo", "hi", "sym", "n.level", "n.block")
+    # a block beyond the last level is made of blocks of that level
+    inner = inner.withColumn("block", F.when(F.col("level") < levels, F.array("block")).otherwise(F.array(F.col("block") * 2, F.col("block") * 2 + 1))).withColumn("level", F.least("level", F.lit(levels - 1))).withColumn("block", F.explode("block"))
+    whole = inner.join(hist, ["level", "block"]).select("lo", "hi", "sym", "s", "c")
     single = first > last
-    edges = F.when(single, F.array(F.struct(F.col("lo").alias("from"), F.col("hi").alias("to")))).otherwise(F.array(F.struct(F.col("lo").alias("from"), F.least("hi", first * span).alias("to")), F.struct(F.greatest("lo", last * span).alias("from"), F.col("hi").alias("to"))))
-    parts = asked.withColumn("e", F.explode(edges)).where("e.from < e.to").withColumn("block", F.floor(F.col("e.from") / span))
+    edges = F.when(single, F.array(F.struct(F.col("lo").alias("from"), F.col("hi").alias("to")))).otherwise(F.array(F.struct(F.col("lo").alias("from"), F.least("hi", first * SPAN).alias("to")), F.struct(F.greatest("lo", last * SPAN).alias("from"), F.col("hi").alias("to"))))
+    parts = asked.withColumn("e", F.explode(edges)).where("e.from < e.to").withColumn("block", F.floor(F.col("e.from") / SPAN))
     rest = parts.join(v.select(block.alias("block"), "pos", F.col("sym").alias("s")), "block").where("pos >= e.from and pos < e.to").select("lo", "hi", "sym", "s", F.lit(1).cast("long").alias("c"))
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
     got = whole.union(rest).groupBy("lo", "hi", "sym").agg(n(F.col("s") < F.col("sym")).alias("lt"), n(F.col("s") == F.col("sym")).alias("eq"), n(F.col("s") > F.col("sym")).alias("gt"))
@@ -67,17 +86,16 @@ def counts(v: DataFrame, queries: DataFrame) -> DataFrame:
 
 def select(v: DataFrame, queries: DataFrame, lo: int = 0, hi: int | None = None) -> DataFrame:
     """queries (sym, n) with the position in the view of the n-th (from 0) occurrence there, or null. Only the
-    symbols asked for are ranked."""
+    symbols asked for are ranked, by blocks of positions, so that a hot symbol isn't sorted in one task."""
     rows = v.where(F.col("pos") >= lo) if hi is None else view(v, lo, hi)
     rows = rows.select("pos", "sym").join(queries.select("sym").distinct(), "sym", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("sym").orderBy("pos")).cast("long") - 1
-    return queries.join(rows.withColumn("n", nth).select("sym", "n", (F.col("pos") - lo).alias("pos")), ["sym", "n"], "left").select(*queries.columns, "pos")
+    ranked = running(rows, F.lit(1).cast("long"), ["pos"], F.floor(F.col("pos") / SPAN), ["sym"], "n")
+    return queries.join(ranked.select("sym", "n", (F.col("pos") - lo).alias("pos")), ["sym", "n"], "left").select(*queries.columns, "pos")
 
 
 def quantile(v: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (k) with sym, the k-th (from 0) smallest symbol of v, and nth, its number among equal symbols;
     nulls where k is no less than the rows. The histogram alone answers: nth is k less the smaller ones."""
-    hist = histogram(v)
-    steps = hist.withColumn("upto", F.sum("cnt").over(Window.orderBy("sym").rowsBetween(Window.unboundedPreceding, 0)))
-    hit = queries.join(steps, (F.col("k") >= F.col("upto") - F.col("cnt")) & (F.col("k") < F.col("upto")) & (F.col("k") >= 0), "left")
-    return hit.select(*queries.columns, "sym", (F.col("k") - (F.col("upto") - F.col("cnt"))).alias("nth"))
+    steps = running(histogram(v), F.col("cnt"), ["sym"], F.floor(F.col("sym") / SPAN), out="from").withColumn("upto", F.col("from") + F.col("cnt"))
+    hit = holding(queries, "k", steps, "from", "upto")
+    return hit.select(*queries.columns, "sym", (F.col("k") - F.col("from")).alias("nth"))

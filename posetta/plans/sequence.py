@@ -27,6 +27,23 @@ def running(df: DataFrame, value: Column, order: list, bucket: Column, by: list[
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_start") + F.col("_in")).alias(out))
 
 
+def holding(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, by: list[str] | None = None) -> DataFrame:
+    """points, each with the span [lo, hi) that holds its `at`, if there's one, by left join. Spans of the same `by`
+    don't overlap. Both are dealt to buckets as wide as the mean span, of which all spans together touch no more
+    than twice their number, so that the join is one by equality, however many points and spans there are."""
+    by = by or []
+    n, whole = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col(hi) - F.col(lo)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+    width = max(1, -(-int(whole) // max(1, n)))
+    bucket = lambda c: F.expr(f"({c}) div {width}L")
+    dealt = spans.where(F.col(hi) > F.col(lo)).withColumn("_bucket", F.explode(F.sequence(bucket(lo), bucket(f"{hi} - 1"))))
+    asked = points.withColumn("_bucket", bucket(at))
+    on = F.lit(True)
+    for c in [*by, "_bucket"]:
+        on = on & (F.col(f"p.{c}") == F.col(f"s.{c}"))
+    on = on & (F.col(f"p.{at}") >= F.col(f"s.{lo}")) & (F.col(f"p.{at}") < F.col(f"s.{hi}"))
+    return asked.alias("p").join(dealt.alias("s"), on, "left").select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"s.{c}") for c in spans.columns if c not in points.columns])
+
+
 def with_positions(df: DataFrame, order: list, bucket: Column | None = None, by: list[str] | None = None, out: str = "pos") -> DataFrame:
     """df with dense positions from 0, by order, which must be total. Without a bucket the rows are
     range-partitioned on order, and the partitions, once written, are the buckets."""
