@@ -6,14 +6,14 @@ import pytest
 
 from posetta.operators import bits, prefix, setops
 
-POSITIONS = {"sparse": [1000, 2000, 300000], "edge": [10, 50, 100, 65535, 65536], "far": [0, 1 << 30, 1 << 40, 1 << 50], "words": [0, 2, 64, 65, 69, 70, 133, 134]}
-SIZES = {"sparse": 300001, "edge": 66666, "far": (1 << 50) + 1, "words": 192, "empty": 70000}
+POSITIONS = {"sparse": [777, 4099, 271828], "edge": [3, 9, 64, 65535, 65536, 65600], "far": [5, 1 << 33, (1 << 44) + 7, 1 << 50], "words": [1, 6, 63, 66, 67, 100, 127, 128, 190]}
+SIZES = {"sparse": 300001, "edge": 65700, "far": (1 << 50) + 1, "words": 192, "empty": 70000}
 
 
 @pytest.fixture(scope="module")
 def sets(spark):
     rows = [(k, p) for k, ps in POSITIONS.items() for p in ps]
-    rows += [("random", p) for p in random.Random(1).sample(range(200000), 2630)] + [("edge", 10)]
+    rows += [("random", p) for p in random.Random(1).sample(range(200000), 2630)] + [("edge", 9)]
     return spark.createDataFrame(rows, "set_id string, pos bigint").cache()
 
 
@@ -58,19 +58,39 @@ def test_select0_and_counts(spark, sets, truth):
         assert (r.count1, r.count0, r.any) == (n, r.size - n, n > 0)
 
 
+def test_both_bits_and_both_ends(spark, sets, truth):
+    sizes = spark.createDataFrame([(k, SIZES.get(k, 200000)) for k in truth], "set_id string, size bigint")
+    blocked = bits.blocks(sets)
+    zeros = {k: [i for i in range(SIZES.get(k, 200000)) if i not in set(truth[k])] for k in truth if k != "far"}
+    asks = [(k, b, n) for k in zeros for b in (True, False) for n in (0, 2, 7, 2000, 66000)]
+    for r in bits.select(blocked, sizes, spark.createDataFrame(asks, "set_id string, bit boolean, n bigint")).collect():
+        of = truth[r.set_id] if r.bit else zeros[r.set_id]
+        assert r.select == (of[r.n] if r.n < len(of) else None), r
+    asks = [(k, i, n) for k in zeros for i in (0, 3, 65536, 65690) for n in (0, 1, 50)]
+    for r in bits.select0_from(blocked, sizes, spark.createDataFrame(asks, "set_id string, i bigint, n bigint")).collect():
+        of = [z - r.i for z in zeros[r.set_id] if z >= r.i]
+        assert r.select0_from == (of[r.n] if r.n < len(of) else None), r
+    rows, left, gone = bits.popped(*bits.pushed(sets, sizes, spark.createDataFrame([("edge", 0, True), ("edge", 1, False), ("empty", 0, True)], "set_id string, k bigint, bit boolean")), 2)
+    size = {r.set_id: r["size"] for r in left.collect()}
+    assert size["edge"] == 65700 and size["empty"] == 69999 and sorted((r.k, r.bit) for r in gone.where("set_id = 'edge'").collect()) == [(0, False), (1, True)]
+    assert [(r.k, r.bit) for r in gone.where("set_id = 'empty'").orderBy("k").collect()] == [(0, True), (1, False)]
+    assert sorted(p for k, p in rows.collect() if k == "edge") == truth["edge"]
+
+
 def test_changes(spark, sets, truth):
-    changes = spark.createDataFrame([("edge", 10, False), ("edge", 11, True), ("edge", 50, True)], "set_id string, pos bigint, bit boolean")
+    changes = spark.createDataFrame([("edge", 9, False), ("edge", 11, True), ("edge", 64, True)], "set_id string, pos bigint, bit boolean")
     after, before = bits.put(sets, changes)
-    assert sorted(p for k, p in after.collect() if k == "edge") == [11, 50, 100, 65535, 65536]
-    assert {r.pos: r.was for r in before.collect()} == {10: True, 11: False, 50: True}
+    assert sorted(p for k, p in after.collect() if k == "edge") == [3, 11, 64, 65535, 65536, 65600]
+    assert {r.pos: r.was for r in before.collect()} == {9: True, 11: False, 64: True}
     at = changes.select("set_id", "pos")
     again = bits.flip(bits.flip(sets, at), at)
     assert sorted(again.collect()) == sorted(sets.distinct().collect())
 
 
 def test_words_and_single_bits(spark, sets):
-    q = spark.createDataFrame([("words", 0, 8), ("words", 60, 10), ("words", 64, 64), ("words", 5, 0)], "set_id string, i bigint, len bigint")
-    assert {r.i: r.word for r in bits.words_at(sets, q).collect()} == {0: 0b101, 60: (1 << 4) | (1 << 5) | (1 << 9), 64: 0b1100011, 5: 0}
+    q = spark.createDataFrame([("words", 0, 8), ("words", 60, 10), ("words", 64, 63), ("words", 5, 0)], "set_id string, i bigint, len bigint")
+    want = {(i, n): sum(1 << (p - i) for p in POSITIONS["words"] if i <= p < i + n) for i, n in ((0, 8), (60, 10), (64, 63), (5, 0))}
+    assert {(r.i, r.len): r.word for r in bits.words_at(sets, q).collect()} == want
     x = spark.createDataFrame([(v,) for v in (0, 1, 12, -1, -(1 << 63), (1 << 62) + 4)], "x bigint")
     from pyspark.sql import functions as F
 
@@ -101,15 +121,19 @@ def test_set_laws(spark):
     assert same.equal and same.subset and same.jaccard == 1.0
 
 
-def test_prefix_goldens(spark):
-    xs = [0, 1, 0, 0, 3, 0, 2, 4, 2]
+def test_prefix_sums(spark):
+    xs = [2, 0, 0, 5, 1, 0, 7, 0, 3, 0]
     df = spark.createDataFrame(list(enumerate(xs)), "pos bigint, x bigint")
     p = prefix.prefix(df)
     q = spark.createDataFrame([(i,) for i in range(12)], "i bigint")
     assert {r.i: r.sum for r in prefix.sums(p, q).collect()} == {i: sum(xs[:i]) for i in range(12)}
-    w = spark.createDataFrame([(i,) for i in (0, 1, 2, 4, 5, 11, 12, 13)], "w bigint")
-    want = {w: next((i for i in range(10) if sum(xs[:i]) >= w), 10) for w in (0, 1, 2, 4, 5, 11, 12, 13)}
+    w = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 7, 8, 15, 18, 19, 40)], "w bigint")
+    want = {w: next((i for i in range(11) if sum(xs[:i]) >= w), 11) for w in (0, 1, 2, 3, 7, 8, 15, 18, 19, 40)}
     assert {r.w: r.lower_bound for r in prefix.lower_bound(p, w).collect()} == want
     assert sorted(prefix.values(p).collect()) == list(enumerate(xs))
+    longer = prefix.pushed(df, spark.createDataFrame([(0, 4), (1, 6)], "n bigint, x bigint"))
+    assert sorted(longer.collect()) == list(enumerate([*xs, 4, 6]))
+    assert [sorted(part.collect()) for part in prefix.popped(longer, 3)] == [list(enumerate(xs[:9])), [(9, 0), (10, 4), (11, 6)]]
+    assert sorted(prefix.fixed(df.where("x > 0"), 12).collect()) == list(enumerate([*xs, 0, 0]))
     empty = prefix.prefix(df.where("false"))
     assert prefix.lower_bound(empty, w).where("w > 0").first().lower_bound == 1
