@@ -17,23 +17,23 @@ from posetta.plans.session import stored
 
 def windows(hashes: Column, more: Column, sizes: Column, words: int) -> Column:
     """Array of (g, w, lo, hi): for each window of a sequence of lines, first and last line, its fingerprint
-    (the least line hash) and a hash of all of it, from other hashes of the lines. sizes are the lines' words,
-    one at least, so that no window has more than `words` lines."""
+    (the least line hash) and a hash of all of it (of a single line its own), from other hashes of the lines.
+    sizes are the lines' words, one at least, so that no window has more than `words` lines."""
     n = F.size(hashes)
 
     def span(i: Column, step: int) -> Column:
         """How many lines a window that begins at i has, going forward (step 1) or back; 0 if there are too few."""
         size = lambda k: F.coalesce(F.get(sizes, i + step * k), F.lit(0)) if step > 0 else F.when(i >= k, F.get(sizes, i - k)).otherwise(F.lit(0))
         look = lambda s, k: F.when(s["sum"] >= words, s).otherwise(F.struct((s["sum"] + size(k)).alias("sum"), (s["n"] + 1).alias("n")))
-        # a line with words enough needs no look at others
-        rest = F.aggregate(F.sequence(F.lit(1), F.lit(words - 1)), F.struct(F.get(sizes, i).alias("sum"), F.lit(1).alias("n")), look, lambda s: F.when(s["sum"] >= words, s["n"]).otherwise(F.lit(0)))
-        return F.when(F.get(sizes, i) >= words, F.lit(1)).otherwise(rest if words > 1 else F.lit(0))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(words - 1)), F.struct(F.get(sizes, i).alias("sum"), F.lit(1).alias("n")), look, lambda s: F.when(s["sum"] >= words, s["n"]).otherwise(F.lit(0)))
 
     def at(i: Column) -> Column:
         ahead, back = span(i, 1), span(i, -1)
         one = lambda lo, m: F.struct(F.array_min(F.slice(hashes, lo + 1, m)).alias("g"), F.xxhash64(F.slice(more, lo + 1, m)).alias("w"), lo.alias("lo"), (lo + m - 1).alias("hi"))
         both = let(F.struct(ahead.alias("a"), back.alias("b")), lambda p: F.filter(F.array(F.when(p["a"] > 0, one(i, p["a"])), F.when(p["b"] > 1, one(i - p["b"] + 1, p["b"]))), lambda w: w.isNotNull()))
-        return both
+        # a line with words enough needs no look at others
+        single = F.array(F.struct(F.get(hashes, i).alias("g"), F.get(more, i).alias("w"), i.alias("lo"), i.alias("hi")))
+        return F.when(F.get(sizes, i) >= words, single).otherwise(both if words > 1 else F.array())
 
     return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))
 
@@ -54,9 +54,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have doesn't meet in one task, and the rows that refer to it are split by the adaptive skew join. Null
     texts count as empty; an empty text is one blank line. Rows with the same id and text count as one
     document, and each gets its result. An empty table gives no rows; only the two named columns are read."""
+    gap, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    enough = rf"^{gap}*+(?:{word}++{gap}++){{{words - 1}}}{word}"  # looks no further than it must
+    count = lambda x: F.when(x.rlike(enough), F.lit(words)).otherwise(WORD_COUNT(x)).cast("int")
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    solid = F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("m"), i.alias("line"), F.least(WORD_COUNT(x), F.lit(words)).cast("int").alias("n"))), lambda x: x["n"] > 0)
+    solid = F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("m"), i.alias("line"), count(x).alias("n"))), lambda x: x["n"] > 0)
     rows = full.select("id", "th", solid.alias("s")).select(F.struct("id", "th").alias("d"), F.col("s.h").alias("h"), F.col("s.m").alias("m"), F.col("s.n").alias("n"), F.col("s.line").alias("line")).where(F.size("h") > 0)
     rows = stored(rows, "line-hashes")
     marks = rows.select("d", "line", F.explode(windows(F.col("h"), F.col("m"), F.col("n"), words)).alias("f"))
@@ -67,7 +70,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = full.alias("f").join(gone.alias("g"), F.col("f.id").eqNullSafe(F.col("g.id")) & (F.col("f.th") == F.col("g.th")), "left").select("f.id", "t", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     stays = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed"))
     clean = let(F.split("t", "\n", -1), lambda x: F.array_join(F.transform(stays(x), lambda i: F.get(x, i)), "\n"))
-    return out.select(F.col("id").alias(id_col), F.size(F.split("t", "\n", -1)).cast("long").alias("n_lines"), "removed", F.when(F.size("removed") == 0, F.col("t")).otherwise(clean).alias("clean"))
+    lines = F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"), F.lit(""))) + 1
+    return out.select(F.col("id").alias(id_col), lines.cast("long").alias("n_lines"), "removed", F.when(F.size("removed") == 0, F.col("t")).otherwise(clean).alias("clean"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
