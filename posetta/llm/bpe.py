@@ -25,7 +25,7 @@ from posetta.plans.session import stored
 
 #: Characters of a leaf; texts with more are cut. Long enough that most texts stay whole, short enough that the parts of a
 #: very long one keep many tasks busy.
-LEAF = 1 << 14
+LEAF = 1 << 15
 #: Up to here, letters, numbers and white space are the same to both libraries' pattern engines (tested
 #: character by character), so that the faster one may split.
 SHARED = re.compile(r"[^\x00-ɏ]")
