@@ -81,7 +81,7 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int, seed: int, decay: fl
     for _ in range(rounds):
         grad, hess = decay * w, decay * np.eye(len(w))
         for lo in range(0, pairs, 4096):
-            d = x[good[lo : lo + 4096]] - x[poor[lo : lo + 4096]]
+            d = x[good[lo : lo + 4096]].astype(np.float64) - x[poor[lo : lo + 4096]]
             p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
             grad = grad - d.T @ p / pairs
             hess += (d * (p * (1 - p))[:, None]).T @ d / pairs
@@ -119,10 +119,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([r["_y"] for r in got])
     if not len(y) or y.min() == y.max():
         return {"w": np.zeros(WIDTH), "mean": np.zeros(WIDTH), "sd": np.ones(WIDTH), "flat": float(y.mean()) if len(y) else 0.5}
-    x = np.frombuffer(b"".join(bytes(r["_x"]) for r in got), np.float32).reshape(len(got), -1)
+    x = np.empty((len(got), WIDTH), np.float32)  # 22 MB at most
+    for i in reversed(range(len(got))):
+        x[i] = np.frombuffer(got.pop()["_x"], np.float32)
     mean, sd = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
     sd = np.where(sd > 1e-9, sd, 1.0)
-    return {"w": bradley_terry((x - mean) / sd, y, pairs, seed), "mean": mean, "sd": sd, "flat": None}
+    x -= mean
+    x /= sd
+    return {"w": bradley_terry(x, y, pairs, seed), "mean": mean, "sd": sd, "flat": None}
 
 
 def raw_score(docs: DataFrame, model: dict, text_col: str, out: str) -> DataFrame:
