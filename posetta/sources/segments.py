@@ -5,16 +5,19 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posetta.plans.sequence import running
-from posetta.plans.session import stored
+from posetta.plans.session import dropped, stored
 
 MAGIC = b"SEGv1"
 NAME = r"(?:^|/)([0-9]{20})\.log$"
+#: Bytes of records, but for the last one of them, that reach the driver as one row.
+PIECE = 1 << 20
 
 
 def encoded(values: Iterable[bytes]) -> bytes:
@@ -54,30 +57,34 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
 def append(df: DataFrame, path: str, value: str, order: list[str], most_bytes: int = 1 << 28, most_total: int | None = None) -> int:
     """Writes the values (text or bytes; null counts as empty) by order as segments behind those under path, and returns
     how many. A segment is closed when it has most_bytes; beyond most_total bytes in the folder nothing is written
-    and ValueError raised. Spark cuts the rows into segments; a segment at a time then goes through the driver,
-    record by record, to a file that gets its name when it's whole."""
+    and ValueError raised. Spark cuts the rows into segments and joins the records of a segment to pieces; these go
+    through the driver, in order and one at a time, to a file that gets its name when it's whole."""
     spark = df.sparkSession
     rows = df.select(*order, F.coalesce(F.col(value).cast("binary"), F.lit("").cast("binary")).alias("_v")).withColumn("_n", (F.octet_length("_v") + 4).cast("long"))
     rows = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "records")
-    rows = running(rows, F.col("_n"), order, F.col("_part"), out="_before").withColumn("_segment", F.floor(F.col("_before") / most_bytes))
+    rows = running(rows, F.col("_n"), order, F.col("_part"), out="_before").withColumn("_segment", F.expr(f"_before div {most_bytes}L"))
+    record = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("_v")), 8, "0")), F.col("_v"))
+    pieces = rows.select("_segment", F.expr(f"_before div {PIECE}L").alias("_piece"), "_before", record.alias("_record"))
+    pieces = stored(pieces.groupBy("_segment", "_piece").agg(F.expr("listagg(_record) within group (order by _before)").alias("_bytes")), "pieces")
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     at = hadoop.Path(path)
     fs = at.getFileSystem(conf)
     fs.mkdirs(at)
     names = {f.getPath().getName(): f.getLen() for f in fs.listStatus(at)}
     there = [int(n[:20]) for n in names if len(n) == 24 and n.endswith(".log") and n[:20].isdigit()]
-    sizes = {r["_segment"]: r["n"] + len(MAGIC) for r in rows.groupBy("_segment").agg(F.sum("_n").alias("n")).collect()}
+    sizes = {r["_segment"]: r["n"] + len(MAGIC) for r in pieces.groupBy("_segment").agg(F.sum(F.octet_length("_bytes")).alias("n")).collect()}
     if most_total is not None and sum(names.values()) + sum(sizes.values()) > most_total:
         raise ValueError(f"{path} would hold more than {most_total} bytes")
     first = max(there, default=-1) + 1
-    for k in sorted(sizes):
+    for k, own in groupby(pieces.orderBy("_segment", "_piece").toLocalIterator(), lambda r: r["_segment"]):
         part = hadoop.Path(f"{path}/{first + k:020}.part")
         out = fs.create(part)
         out.write(bytearray(MAGIC))
-        for r in rows.where(F.col("_segment") == k).orderBy(*order).select("_v").toLocalIterator():
-            out.write(bytearray(struct.pack(">I", len(r["_v"])) + bytes(r["_v"])))
+        for r in own:
+            out.write(bytearray(r["_bytes"]))
         out.close()
         fs.rename(part, hadoop.Path(f"{path}/{first + k:020}.log"))
+    dropped(pieces)
     return len(sizes)
 
 

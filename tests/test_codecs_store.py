@@ -177,6 +177,19 @@ def test_appending_to_a_log(spark, tmp_path):
     assert segments.replay(spark, path).count() == 204 and not any(r.torn for r in segments.segment_state(spark, path).collect())
 
 
+def test_appending_many_segments(spark, tmp_path, monkeypatch):
+    """The number of jobs doesn't grow with the segments, and the pieces of a segment come in order."""
+    monkeypatch.setattr(segments, "PIECE", 64)
+    path, rng = str(tmp_path / "log"), random.Random(12)
+    values = [rng.randbytes(rng.choice((0, 5, 40, 300))) for _ in range(1500)]
+    spark.sparkContext.setJobGroup("append", "")
+    made = segments.append(spark.createDataFrame(list(enumerate(values)), "n bigint, v binary"), path, "v", ["n"], most_bytes=700)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert made > 150 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("append")) < 60
+    got = [bytes(r.value) for r in segments.replay(spark, path).orderBy("segment", "slot").collect()]
+    assert got == values
+
+
 def test_ingestion(spark, tmp_path):
     source, base = tmp_path / "in", str(tmp_path / "store")
     for k in range(3):
