@@ -176,8 +176,8 @@ def select(index: WaveletIndex, queries: DataFrame) -> DataFrame:
         q = q.select("qid", "sym", "n", "from", F.when(one(d), z + F.col("ri")).otherwise(F.col("i") - F.col("ri")).alias("i"), F.when(one(d), z + F.col("rj")).otherwise(F.col("j") - F.col("rj")).alias("j"))
     q = stored(q.where("i + n < j").select("qid", "sym", "from", (F.col("i") + F.col("n")).alias("at")), "leaves")
     for d in reversed(range(index.depth)):
-        up = q.withColumn("set_id", F.lit(d))
-        ones = bits.select1(index.levels, up.where(one(d)).withColumn("n", F.col("at") - index.zeros[d]), "pos")
-        zeros = bits.select1(index.gaps, up.where(~one(d)).withColumn("n", F.col("at")), "pos")
-        q = ones.union(zeros).select("qid", "sym", "from", F.col("pos").alias("at"))
+        # both kinds in one join, so that each level reads the one below once
+        both = index.levels.where(F.col("set_id") == d).withColumn("set_id", F.lit(1)).union(index.gaps.where(F.col("set_id") == d).withColumn("set_id", F.lit(0)))
+        up = q.withColumn("set_id", F.when(one(d), F.lit(1)).otherwise(F.lit(0))).withColumn("n", F.when(one(d), F.col("at") - index.zeros[d]).otherwise(F.col("at")))
+        q = bits.select1(both, up, "pos").select("qid", "sym", "from", F.col("pos").alias("at"))
     return queries.join(q.select("qid", (F.col("at") - F.col("from")).alias("pos")), "qid", "left")

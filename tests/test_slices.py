@@ -87,6 +87,19 @@ def test_index_against_plain_python(spark):
     assert {r.qid: r.sym for r in got} == {0: xs[0], 1: xs[499], 2: None}
 
 
+def test_selecting_reads_each_level_once(spark):
+    """The plan grows with the depth, not with the power of two of it."""
+    rng = random.Random(8)
+    xs = [rng.randrange(90) * 11 for _ in range(300)]
+    index = wavelet_index.build(seq(spark, xs))
+    asks = [(k, *sorted((rng.randrange(301), rng.randrange(301))), rng.choice(xs), rng.randrange(0, 3)) for k in range(60)]
+    got = wavelet_index.select(index, spark.createDataFrame(asks, "qid bigint, lo bigint, hi bigint, sym bigint, n bigint"))
+    assert index.depth == 10 and got._jdf.queryExecution().analyzed().toString().count("Join") <= 2 * index.depth
+    for r in got.collect():
+        at = [i for i, x in enumerate(xs[r.lo : r.hi]) if x == r.sym]
+        assert r.pos == (at[r.n] if r.n < len(at) else None), r
+
+
 def test_positions_without_a_bucket(spark):
     rng = random.Random(5)
     keys = rng.sample(range(10000), 300)
