@@ -282,6 +282,38 @@ def test_passages_behind_boilerplate(spark, common, own):
     assert [i for k, i in enumerate(order) if not need[i] <= covered[k]] == []
 
 
+def test_near_passages_lose_no_pair(spark):
+    """Each two of 24 texts with similar windows have a row, or 45 words in common and a way through rows."""
+    rng = random.Random(33)
+    base, texts = words(rng, 62).split(" "), []
+    for k in range(24):
+        own, at = list(base), (24, 29, 34)[k % 3]
+        if k % 8:  # others have the whole passage
+            own[at : at + (k % 7 != 0)] = [f"own{k}"] * (k % 5 != 0)
+        texts.append(" ".join([words(rng, 9 + k % 4), *own, words(rng, 8)]))
+    split = [t.split(" ") for t in texts]
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    windows = [[frozenset(grams(w[i : i + 50], 5)) for i in range(len(w) - 49)] for w in split]
+    alike = [(i, j) for i, j in itertools.combinations(range(24), 2) if any(5 * len(a & b) >= 4 * len(a | b) for a in windows[i] for b in windows[j])]
+    got = passages.repeated_passages(docs(spark, texts)).collect()
+    rows = {(r.ref_doc_id, r.doc_id) for r in got}
+    near = [p for p in alike if not set(grams(split[p[0]], 45)) & set(grams(split[p[1]], 45))]
+    assert len(near) > 40 and set(near) <= rows
+    label = plain_components(24, rows)
+    assert all(label[i] == label[j] for i, j in alike)
+    for r in got:
+        a, b = set(grams(split[r.doc_id][r.start_word : r.end_word], 5)), set(grams(split[r.ref_doc_id][r.ref_start : r.ref_end], 5))
+        assert len(a & b) / len(a | b) == pytest.approx(r.similarity) and r.end_word - r.start_word >= 50
+
+
+def plain_components(n, pairs):
+    label = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
 def brute_components(sets, ids):
     label = list(range(len(sets)))
 
