@@ -306,6 +306,29 @@ def test_near_passages_lose_no_pair(spark):
         assert len(a & b) / len(a | b) == pytest.approx(r.similarity) and r.end_word - r.start_word >= 50
 
 
+def test_passage_classes(spark, empty):
+    """Rows of the first documents and of copies too, as many as there are stretches; no pair's link or word is lost."""
+    rng = random.Random(41)
+    base, license_, texts = words(rng, 62).split(" "), words(rng, 70), [None, "", "one two", "x " * 20000]
+    for k in range(40):  # variants, most of which have no run of 41 shingles in common
+        own, at = list(base), 20 + k % 23
+        own[at : at + 1] = [f"own{k}"] * (k % 5 != 0)
+        texts.append(" ".join([words(rng, 9 + k % 4), *own, words(rng, 8)]))
+    texts += [" ".join([words(rng, rng.randint(0, 60)), license_, words(rng, 70)]) for _ in range(30)]
+    texts += [texts[-1].upper(), words(rng, 90)]
+    df = docs(spark, texts)
+    got, pairs = passages.passage_classes(df).collect(), passages.repeated_passages(df).collect()
+    label = plain_components(len(texts), {(r.ref_doc_id, r.doc_id) for r in pairs})
+    assert len({r.doc_id for r in got}) == len(got) > 60  # each has one stretch
+    assert {r.doc_id: r.class_id for r in got} == {i: label[i] for r in pairs for i in (r.doc_id, r.ref_doc_id)}
+    assert {(r.class_id, r.class_start) for r in got} == {(r.doc_id, r.start_word) for r in got if r.kept}
+    mine = {r.doc_id: r for r in got}
+    for r in pairs:
+        for i, lo, hi in ((r.doc_id, r.start_word, r.end_word), (r.ref_doc_id, r.ref_start, r.ref_end)):
+            assert mine[i].start_word <= lo and hi <= mine[i].end_word
+    assert len(pairs) > 2 * len(got) and passages.passage_classes(empty).count() == 0
+
+
 def plain_components(n, pairs):
     label = list(range(n))
     for _ in range(n):
