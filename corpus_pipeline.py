@@ -5,16 +5,30 @@ table, and runs whatever the number, order or repetition of rows."""
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posetta.llm import bpe, exact_dedup, jaccard, mixing, quality
 from posetta.llm.words import fresh
-from posetta.plans.session import scratch_dir, table
+from posetta.plans.session import scratch_dir, small_batches, table
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage in a session whose Python workers get few rows at once, as its result is still to be computed."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking scores at least 0.5; the others go. Null texts score as empty ones do; equal
     texts score alike, whatever their ids, so repeated rows stay or go together; null ids train nothing."""
@@ -33,6 +47,7 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)
 
 
+@in_small_batches
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.8: the one with the smallest doc_id.
     Documents without words, or without an id, all stay; so do all rows of an id that stays."""
@@ -41,12 +56,14 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return known.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
+@in_small_batches
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document in each pass; no document more than twice. Null and empty texts take
     nothing and go; a null source is one like the others; repeated rows are rows of their own."""
     return mixing.mixed_documents(docs)
 
 
+@in_small_batches
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, with their number, a digest of them and one of what they decode to. A null text
     counts as empty and has no ids."""

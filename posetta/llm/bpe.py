@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posetta.llm.words import released
 from posetta.plans.session import stored
 
 #: Characters of a leaf; texts with more are cut. Long enough that most texts stay whole, short enough that the parts of a
@@ -246,9 +247,9 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_c
         parts = list(zip(group["special"].to_pylist(), group["no"].to_pylist(), made))
         return pa.Table.from_batches([finished(group[id_col].combine_chunks().slice(0, 1), [assembled(parts, path)])])
 
-    short = rows.where("not _long").select(id_col, "_t").mapInArrow(whole, schema)
+    short = rows.where("not _long").select(id_col, "_t").mapInArrow(released(whole), schema)
     shape = f"key string, seq bigint, {strings} special int, no bigint, leaf string"
-    parts = rows.where("_long").select(id_col, "_t").mapInArrow(cut, shape)
+    parts = rows.where("_long").select(id_col, "_t").mapInArrow(released(cut), shape)
     # keys are drawn anew if a task runs again, so the pieces are written first
-    parts = stored(parts, "pieces").repartition("key", "seq").mapInArrow(leaves, f"{shape}, lengths binary, counts binary, ids binary")
+    parts = stored(parts, "pieces").repartition("key", "seq").mapInArrow(released(leaves), f"{shape}, lengths binary, counts binary, ids binary")
     return short.union(parts.groupBy("key").applyInArrow(join, schema))

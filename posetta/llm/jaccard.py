@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posetta.llm.shingles import U, mixed, runs, shingle_hashes, word_hashes
-from posetta.llm.words import arrow_kind, slot_bitmap
+from posetta.llm.words import arrow_kind, released, slot_bitmap
 from posetta.operators.components import components, joined
 from posetta.plans.session import dropped, stored
 
@@ -108,7 +108,7 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int) ->
         yield pa.RecordBatch.from_arrays([none.cast(ids), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "n", "c", "slice", "counts"])
 
     ids = arrow_kind(docs, id_col)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(apply, f"id {kind}, n bigint, c bigint, slice int, counts binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(released(apply), f"id {kind}, n bigint, c bigint, slice int, counts binary")
 
 
 def heavy_slots(made: DataFrame) -> np.ndarray:
@@ -211,9 +211,9 @@ def candidate_pairs(docs: DataFrame, text_col: str, width: int, heavy: np.ndarra
             for (gid, g), (start, w, n) in told.items():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(w, gid)), pa.array(who[start : start + w]), pa.array((at[start : start + w] & 1).astype(np.int64)), pa.array(np.full(w, g)), pa.array(np.full(w, n))], ["gid", "a", "b", "g", "n"])
 
-    blobs = docs.select(text_col).mapInArrow(keyed, "part int, classes binary, places binary, times binary, keys binary")
+    blobs = docs.select(text_col).mapInArrow(released(keyed), "part int, classes binary, places binary, times binary, keys binary")
     # a part is a partition, so that a task holds one
-    return blobs.repartitionById(parts, F.col("part")).mapInArrow(met, "gid bigint, a bigint, b bigint, g bigint, n bigint")
+    return blobs.repartitionById(parts, F.col("part")).mapInArrow(released(met), "gid bigint, a bigint, b bigint, g bigint, n bigint")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: Dat
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("p"), F.col(text_col).alias("t"))
-    rows = rows.mapInArrow(apply, f"id {kind}, c bigint, n bigint, sketch binary, shingles binary")
+    rows = rows.mapInArrow(released(apply), f"id {kind}, c bigint, n bigint, sketch binary, shingles binary")
     # dealt by class alone, so that the join and the choice of one row share a shuffle
     same = (F.col("r.c") == F.col("w.c")) & (F.col("r.id") >= F.col("w.rep")) & (F.col("r.id") <= F.col("w.rep"))
     return rows.alias("r").join(wanted.alias("w"), same, "left_semi").select("c", "n", "sketch", "shingles").dropDuplicates(["c"])
@@ -257,7 +257,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             at = pa.array(np.flatnonzero(differ * (den + num) <= size * (den - num)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
-    near = near.select("a", "b", "na", "ka", "nb", "kb").mapInArrow(close, "a bigint, b bigint")
+    near = near.select("a", "b", "na", "ka", "nb", "kb").mapInArrow(released(close), "a bigint, b bigint")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,7 +271,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
     full = sets.select("c", "shingles")
-    return near.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b").select("a", "b", "xa", "xb").mapInArrow(exact, "a bigint, b bigint")
+    return near.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b").select("a", "b", "xa", "xb").mapInArrow(released(exact), "a bigint, b bigint")
 
 
 def around_hubs(open_: DataFrame, sets: DataFrame, edges: np.ndarray, num: int, den: int) -> DataFrame:
@@ -301,7 +301,7 @@ def around_hubs(open_: DataFrame, sets: DataFrame, edges: np.ndarray, num: int,
 
     full = sets.select("c", "shingles")
     rows = open_.join(full.toDF("hub", "p"), "hub").join(full.toDF("c", "x"), "c").select("hub", "g", "c", "side", "of", "p", "x")
-    rows = stored(rows.mapInArrow(residuals, "hub bigint, g bigint, c bigint, side bigint, of bigint, n bigint, r bigint, e array<bigint>"), "residuals")
+    rows = stored(rows.mapInArrow(released(residuals), "hub bigint, g bigint, c bigint, side bigint, of bigint, n bigint, r bigint, e array<bigint>"), "residuals")
     d = F.element_at(F.array(*[F.lit(int(k)) for k in most]), (F.col("g") + 1).cast("int"))
     top = F.element_at(F.array(*[F.lit(int(edges[min(g + 2, len(edges) - 1)])) for g in range(len(most))]), (F.col("g") + 1).cast("int"))
     hub = rows.where("c = hub").select("hub", "g", F.col("of").alias("hub_of"), F.col("n").alias("hub_n"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posetta.llm.shingles import U, mixed, runs, word_hashes
-from posetta.llm.words import fresh
+from posetta.llm.words import fresh, released
 from posetta.plans.session import stored
 
 FEATURES = ["log_chars", "symbols", "bars", "upper", "digits", "marks", "blanks", "distinct", "repeats", "word_chars", "line_words", "bang"]
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["_id", "_y", "_x"])
 
     kind = dict(texts.dtypes)["_id"]
-    got = texts.mapInArrow(measure, f"_id {kind}, _y double, _x binary").groupBy("_id").agg(F.min(F.struct("_x", "_y")).alias("r")).select("_id", "r._x", "r._y").collect()
+    got = texts.mapInArrow(released(measure), f"_id {kind}, _y double, _x binary").groupBy("_id").agg(F.min(F.struct("_x", "_y")).alias("r")).select("_id", "r._x", "r._y").collect()
     got.sort(key=lambda r: r["_id"])
     y = np.array([r["_y"] for r in got])
     if not len(y) or y.min() == y.max():
@@ -140,7 +140,7 @@ def raw_score(docs: DataFrame, model: dict, text_col: str, out: str) -> DataFram
 
     at = docs.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(apply, f"{fields}, `{out}` double")
+    return docs.mapInArrow(released(apply), f"{fields}, `{out}` double")
 
 
 def threshold(scores: DataFrame, labels: DataFrame, model: dict, id_col: str, out: str, label_col: str = "quality") -> tuple[float, float]:

@@ -656,3 +656,43 @@ def test_pipeline_stages_on_odd_rows(spark):
                 assert [r.doc_id for r in out if r.text and r.text.lower().startswith("same")] == [900004] and len(out) == 3
             if name == "near_dedup" and rows:
                 assert {r.doc_id for r in out} == {None, 900001, 900002, 900003}
+
+
+def test_pipeline_hands_python_few_rows_at_once(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    name, schema = "spark.sql.execution.arrow.maxRecordsPerBatch", "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs, before = spark.createDataFrame([], schema), spark.conf.get(name)
+    sizes = lambda batches: (b.select(["id"]) for b in batches if b.num_rows > 1024)
+    try:
+        for stage in (f for k, f in pipeline.STAGES if k != "exact_dedup"):
+            spark.conf.set(name, "10000")
+            stage(spark, docs, "/root/testdata/sf0.001")
+            assert spark.range(0, 5000, 1, 1).mapInArrow(sizes, "id bigint").count() == 0
+        spark.conf.set(name, "100")
+        pipeline.STAGES[0][1](spark, docs, "/root/testdata/sf0.001")
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_released_gives_memory_back(spark):
+    from posetta.llm.words import released
+
+    def much(batches):
+        kept = None
+        for b in batches:
+            parts = [bytearray(b"x" * 100_000) for _ in range(2000)]  # from the heap, as they're small, with a last one on top
+            kept = bytearray(b"y" * 100_000)
+            del parts
+            yield b
+        held.append(kept)
+
+    held: list = []
+
+    def resident(batches):
+        yield from batches
+        with open("/proc/self/statm") as f:
+            assert int(f.read().split()[1]) * 4096 < 200e6
+
+    both = lambda batches: resident(released(much)(batches))
+    assert spark.range(0, 10, 1, 1).mapInArrow(both, "id bigint").count() == 10
