@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +330,73 @@ def test_passage_classes(spark, empty):
     assert len(pairs) > 2 * len(got) and passages.passage_classes(empty).count() == 0
 
 
+def around_words(texts, at):
+    """(halves of the shingle hashes of each text, those around its position `at` as shared_reach() takes them)."""
+    halves = [(h >> np.uint64(32)).astype(np.uint32) for _, _, h in passages.sequences(pa.array(texts), 5)]
+    rows = np.zeros((len(texts), 2 * passages.AROUND + 1), np.uint32)
+    for row, h, p in zip(rows, halves, at):
+        lo, hi = max(0, p - passages.AROUND), min(len(h), p + passages.AROUND + 1)
+        row[lo - p + passages.AROUND : hi - p + passages.AROUND] = h[lo:hi]
+    return halves, rows
+
+
+def edited_texts(n):
+    """Texts with 64 words in common but for one or two that are changed, put in or left out, around their shingle `at`."""
+    rng = random.Random(42)
+    base, texts, at = words(rng, 64).split(" "), [], []
+    for k in range(n):
+        left, right = base[:30], base[36:]
+        for own in rng.sample([left, right], 1 + k % 2):
+            i = rng.randrange(len(own))
+            own[i : i + rng.randint(0, 1)] = [f"own{k}x{i}"] * rng.randint(0, 1)
+        before = 9 + k % 4
+        texts.append(" ".join([words(rng, before), *left, *base[30:36], *right, words(rng, 12)]))
+        at.append(before + len(left))
+    return texts, np.array(at)
+
+
+def test_reach_that_is_sure_is_reported():
+    texts, at = edited_texts(40)
+    halves, rows = around_words(texts, at)
+    x, y = np.array(list(itertools.combinations(range(40), 2))).T
+    reach, got, sure = passages.shared_reach(rows[x], rows[y], 41, 5, 46)
+    assert sure.sum() > 100 and not (sure & ~got).any()
+    for i, j, r, can, is_sure in zip(x, y, reach.tolist(), got, sure):
+        found = passages.common_passages(halves[i], halves[j], np.array([at[i] - at[j]]), 46, 4, 5)
+        assert can or not found
+        if is_sure:  # on each side, what is reported around the position, as a stretch
+            assert min(f[0] for f in found) <= at[i] - r[0] and max(f[1] for f in found) > at[i] + r[1]
+            assert min(f[2] for f in found) <= at[j] - r[2] and max(f[3] for f in found) > at[j] + r[3]
+
+
+def test_open_pairs_grow_with_the_entries():
+    """Of each two of n entries with similar windows only as many are compared as their stretches need, and these do."""
+    n = 120
+    texts, at = edited_texts(n)
+    _halves, rows = around_words(texts, at)
+    x, y = np.array(list(itertools.combinations(range(n), 2))).T
+    reach, got, sure = passages.shared_reach(rows[x], rows[y], 41, 5, 46)
+    x, y, reach, sure = x[got], y[got], reach[got], sure[got]
+    out = passages.missing(x, y, reach, sure, at, at, at, np.arange(n))
+    assert sure.sum() > 15 * n > 5 * out[sure].sum()
+    lo, hi = at.copy(), at.copy()
+    for e, k in ((x[out], 0), (y[out], 2)):
+        np.minimum.at(lo, e, at[e] - reach[out, k])
+        np.maximum.at(hi, e, at[e] + reach[out, k + 1] + 1)
+    label = plain_components(n, list(zip(x[out].tolist(), y[out].tolist())))
+    assert all(c.all() for c in passages.covered(x, y, reach, at, lo, hi))
+    assert all(label[i] == label[j] for i, j in zip(x.tolist(), y.tolist()))
+
+
+def test_passages_of_two_texts_under_one_id(spark):
+    """Two texts of one id aren't compared, and no other pair is left out for them."""
+    texts, _at = edited_texts(40)
+    rows = [(k // 2, f"{'own ' * (20 * (k % 2))}{t}") for k, t in enumerate(texts)]
+    got = passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    alone = passages.passage_classes(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id // 2, r.start_word, r.end_word) for r in alone) == sorted((r.doc_id, r.start_word, r.end_word) for r in got)
+
+
 def plain_components(n, pairs):
     label = list(range(n))
     for _ in range(n):
